@@ -1,10 +1,14 @@
 """Parent-child rows to full hierarchies by pointer doubling.
 
-Every node starts with a pointer to its parent, the length of that jump, and the path segment it
-skips. Each round joins the pointers of unfinished nodes to their targets' pointers, which doubles
-the jumps and concatenates the segments, so a tree of depth d takes about log2(d) joins. A node
-whose depth is above 2^r always has an ancestor that finishes in round r + 1; so a round in which no
-node finishes proves that the rest never reach a root: they are on a cycle or hang from one.
+Every node starts with a pointer to its parent and the length of that jump. Each round joins the
+pointers of unfinished nodes to their targets' pointers, which doubles the jumps, so a tree of depth
+d takes about log2(d) joins on the unique node key. A node whose depth is above 2^r always has an
+ancestor that finishes in round r + 1; so a round in which no node finishes proves that the rest
+never reach a root: they are on a cycle or hang from one. These rounds carry no paths, as a path
+round a cycle would double for ever.
+
+Paths are made the same way for the nodes that do reach a root: a jump's path segment is joined to
+its target's segment, and as depths are known, so is the number of rounds.
 """
 
 from __future__ import annotations
@@ -28,6 +32,42 @@ def clean_processes(rows: DataFrame, *extra: str) -> DataFrame:
     return one.select("guid", plain_guid(F.col("r.parent_guid")).alias("parent_guid"), F.col("r.proc_name").alias("proc_name"), *[F.col(f"r.{c}").alias(c) for c in extra])
 
 
+def _double(links: DataFrame) -> DataFrame:
+    """(node, to, root, depth), staged, of (node, up): to is null once the root is reached, and
+    stays set for nodes that never reach one."""
+    known = links.select(F.col("node").alias("up"), F.lit(True).alias("known"))
+    start = links.join(known, "up", "left").select("node", F.when(F.col("known"), F.col("up")).alias("to"))
+    is_root = F.col("to").isNull()
+    cur = stage(start.select("node", "to", F.when(is_root, F.col("node")).alias("root"), F.when(is_root, 0).otherwise(1).alias("depth")), "tree-pointers")
+    left = cur.where("to is not null").count()
+    while left:
+        target = cur.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
+        jumped = cur.where("to is not null").join(target, "to").select("node", F.col("to2").alias("to"), F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        nxt = stage(jumped.unionByName(cur.where("to is null")), "tree-pointers")
+        drop_staged(cur)
+        cur, still = nxt, nxt.where("to is not null").count()
+        if still == left:
+            break
+        left = still
+    return cur
+
+
+def _links(nodes: DataFrame, key: str, parent: str, name: str | None) -> DataFrame:
+    seg = F.col(name).cast("string") if name else F.lit(None).cast("string")
+    base = nodes.select(F.col(key).cast("string").alias("node"), F.col(parent).cast("string").alias("up"), seg.alias("name")).where("node is not null")
+    return stage(base, "tree-links")
+
+
+def _roots(doubled: DataFrame) -> DataFrame:
+    ended = F.col("to").isNull()
+    return doubled.select("node", F.when(ended, F.col("root")).otherwise(F.lit("")).alias("root"), F.when(ended, F.col("depth")).otherwise(F.lit(-1)).alias("depth"))
+
+
+def roots(nodes: DataFrame, key: str = "guid", parent: str = "parent_guid") -> DataFrame:
+    """(node, root, depth) of every node, without paths. See `ancestors`."""
+    return _roots(_double(_links(nodes, key, parent, None)))
+
+
 def ancestors(nodes: DataFrame, key: str = "guid", parent: str = "parent_guid", name: str | None = "proc_name") -> DataFrame:
     """(node, root, depth, ids, names): path from the root to the node, both included.
 
@@ -36,46 +76,21 @@ def ancestors(nodes: DataFrame, key: str = "guid", parent: str = "parent_guid",
     its own parent is one. A null name stays null in `names`. Keys are taken as strings. An empty
     table gives no rows.
     """
-    seg = F.col(name).cast("string") if name else F.lit(None).cast("string")
-    base = nodes.select(F.col(key).cast("string").alias("node"), F.col(parent).cast("string").alias("up"), seg.alias("name")).where("node is not null")
-    links = stage(base, "tree-links")
-    known = links.select(F.col("node").alias("up"), F.lit(True).alias("known"))
-    # to: where the pointer leads, null once it has passed the root; hop: nodes jumped over.
-    cur = stage(
-        links.join(known, "up", "left").select(
-            "node",
-            F.when(F.col("known"), F.col("up")).alias("to"),
-            F.array("node").alias("ids"),
-            F.array("name").alias("names"),
-        ),
-        "tree-pointers",
-    )
-    drop_staged(links)
-    done_parts: list[DataFrame] = []
-    left = cur.where("to is not null").count()
-    while left:
-        # Finished nodes keep serving as targets; ids and names grow towards the root.
+    links = _links(nodes, key, parent, name)
+    found = _roots(_double(links))
+    deepest = found.agg(F.max("depth")).first()[0] or 0
+    to = F.when(F.col("depth") > 0, F.col("up"))
+    cur = stage(links.join(found.where("depth >= 0"), "node").select("node", "depth", to.alias("to"), F.array("node").alias("ids"), F.array("name").alias("names")), "tree-paths")
+    for r in range(deepest.bit_length()):
+        # Before round r a segment covers min(depth + 1, 2^r) nodes; those that cover all are done.
         target = cur.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("ids").alias("ids2"), F.col("names").alias("names2"))
-        nxt = stage(
-            cur.where("to is not null")
-            .join(target, "to")
-            .select("node", F.col("to2").alias("to"), F.concat("ids2", "ids").alias("ids"), F.concat("names2", "names").alias("names"))
-            .unionByName(cur.where("to is null")),
-            "tree-pointers",
-        )
+        joined = cur.where("to is not null").join(target, "to").select("node", "depth", F.col("to2").alias("to"), F.concat("ids2", "ids").alias("ids"), F.concat("names2", "names").alias("names"))
+        nxt = stage(joined.unionByName(cur.where("to is null")), "tree-paths")
         drop_staged(cur)
-        cur, still = nxt, nxt.where("to is not null").count()
-        if still == left:
-            break
-        left = still
-    ended = F.col("to").isNull()
-    return cur.select(
-        "node",
-        F.when(ended, F.element_at("ids", 1)).otherwise(F.lit("")).alias("root"),
-        F.when(ended, F.size("ids") - 1).otherwise(F.lit(-1)).alias("depth"),
-        F.when(ended, F.col("ids")).alias("ids"),
-        F.when(ended, F.col("names")).alias("names"),
-    )
+        cur = nxt
+    ended = cur.select("node", F.element_at("ids", 1).alias("root"), "depth", "ids", "names")
+    nothing = F.lit(None).cast("array<string>")
+    return ended.unionByName(found.where("depth < 0").select("node", "root", "depth", nothing.alias("ids"), nothing.alias("names")))
 
 
 def hierarchy(found: DataFrame, sep: str = "/") -> DataFrame:

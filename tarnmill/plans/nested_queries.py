@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import hierarchy, nested
 from ..sources.tables import table
-from ..staging import stage
 
 
 def _ancestors(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.ancestors(stage(hierarchy.clean_processes(table(spark, d, "processes")), "processes"))
+    return hierarchy.ancestors(hierarchy.clean_processes(table(spark, d, "processes")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _ancestors(spark, d).where("depth >= 12 or depth < 0").select(F.col("node").alias("guid"), F.col("root").alias("root_guid"))
+    return hierarchy.roots(hierarchy.clean_processes(table(spark, d, "processes"))).where("depth >= 12 or depth < 0").select(F.col("node").alias("guid"), F.col("root").alias("root_guid"))
 
 
 def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
