@@ -88,12 +88,33 @@ below as (select node, count(*) as descendants from (select unnest(ids[:-2]) as
 """
 
 
+_BODY = """with recursive b0 as (select report_id, case when json_valid(body) then case when json_type(body) = 'VARCHAR' then body ->> '$' else body end end as body from raw_reports),
+b as (select report_id, case when json_valid(body) then case when json_type(body) = 'VARCHAR' then body ->> '$' else body end end as body from b0),
+t as materialized (select report_id, x.id, x.parent, x.key, x.type, x.value from (select * from b where json_valid(body)) b, json_tree(b.body) x),
+"""
+_NODES = _BODY + """pt as (select t.report_id, t.id, t.type from t join t as r on r.report_id = t.report_id and r.parent is null and t.parent = r.id and r.type = 'OBJECT' where t.key = 'process_trees'),
+w as (select t.report_id, t.id, t.type, coalesce(t.value ->> 'tree_id', case when pt.type = 'OBJECT' then t.key end, '') as tree_id, null::varchar as owner, t.value
+      from t join pt on t.report_id = pt.report_id and t.parent = pt.id where t.type in ('OBJECT', 'ARRAY')
+      union all select t.report_id, t.id, t.type, w.tree_id, coalesce(case when w.type = 'OBJECT' then w.value ->> 'node_id' end, w.owner), t.value
+      from t join w on t.report_id = w.report_id and t.parent = w.id where t.type in ('OBJECT', 'ARRAY')),
+n as (select report_id, tree_id, value ->> 'node_id' as node_id, coalesce(value ->> 'parent', owner, '') as parent_id, value ->> 'name' as name,
+      case when value ->> 'timestamp' not in ('None', 'NaT', '') then value ->> 'timestamp' end as ts, value ->> 'proc_path' as proc_path from w where type = 'OBJECT' and value ->> 'node_id' is not null)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p5_found": _TREE + "select guid, root as root_guid from t where depth >= 12 union all select guid, '' from p where guid not in (select guid from t)",
         "p5_hierarchy": _TREE + """select p.guid, coalesce(root, '') as root_guid, coalesce(depth, -1) as depth, path, coalesce(descendants, 0) as descendants, root is null as endless
             from p left join t using (guid) left join below on below.node = p.guid""",
         "p5_descendants": _TREE + "select ids[i] as guid, guid as descendant, depth + 1 - i as distance from (select guid, ids, depth, unnest(range(1, depth + 1)) as i from t)",
+        "p6_found": _NODES + "select distinct report_id, tree_id, node_id, parent_id from n",
+        "p6_nodes": _NODES + "select report_id, tree_id, node_id, parent_id, min(name) as name, min(ts) as ts, min(proc_path) as proc_path from n group by all",
+        "p6_reports": _BODY.rstrip(",\n ") + """ select report_id, value ->> 'host_id' as host_id, value ->> 'host_name' as host_name, value ->> 'op_sys' as op_sys, value ->> 'ip' as ip,
+            case when json_type(value, '$.env') = 'OBJECT' then value ->> '$.env.stage' else value ->> 'env' end as env from t where parent is null and type = 'OBJECT'""",
+        "p6_iterations": _BODY.rstrip(",\n ") + """ select r.report_id, l.key as tree_id, i.key::int as ordinal, i.value ->> '$[0]' as start, try_cast(i.value ->> '$[1]' as double) as elapsed, i.value ->> '$[2]' as node_id
+            from t as r join t as m on m.report_id = r.report_id and m.parent = r.id and m.key = 'tree_iterations' join t as l on l.report_id = r.report_id and l.parent = m.id and m.type = 'OBJECT' and l.type = 'ARRAY'
+            join t as i on i.report_id = r.report_id and i.parent = l.id and i.type = 'ARRAY' where r.parent is null""",
         "p6_states": """select state_id, host.id as host_id, coalesce(host.os, host_os) as host_os, host.site.room as host_site_room, host.site.rack as host_site_rack,
             coalesce(disk.main.mount, disk_main_mount) as disk_main_mount, disk.main.label as disk_main_label,
             case when isnan(disk.main.size_gb) then null else disk.main.size_gb end as disk_main_size_gb, disk.encrypted as disk_encrypted from agent_states""",

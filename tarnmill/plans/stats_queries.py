@@ -57,12 +57,12 @@ def linreg_1d(spark: SparkSession, d: str) -> DataFrame:
 
 def linreg_multi(spark: SparkSession, d: str) -> DataFrame:
     theta, cost = stats.linreg(table(spark, d, "lineitem"), _XS, "l_extendedprice")
-    return spark.createDataFrame([(c, float(t)) for c, t in zip(["1", *_XS], theta)], "term string, weight double")
+    return spark.createDataFrame([(c, round(float(t), 3)) for c, t in zip(["1", *_XS], theta)], "term string, weight double")
 
 
 def ridge(spark: SparkSession, d: str) -> DataFrame:
     theta, cost = stats.linreg(table(spark, d, "lineitem"), _XS, "l_extendedprice", ridge=50.0)
-    return spark.createDataFrame([(c, float(t)) for c, t in zip(["1", *_XS], theta)], "term string, weight double")
+    return spark.createDataFrame([(c, round(float(t), 3)) for c, t in zip(["1", *_XS], theta)], "term string, weight double")
 
 
 def linreg_cost(spark: SparkSession, d: str) -> DataFrame:
@@ -123,6 +123,18 @@ def _cells(src: str, x: str, y: str) -> str:
     f as (select x, y, coalesce(n, 0) as n, nx * ny / total as e, total from cx cross join cy cross join t left join c using (x, y))"""
 
 
+def _solve(ridge: float) -> str:
+    """Least squares of three centred columns by Cramer's rule."""
+    c = lambda a, b: f"covar_pop({a}, {b}) * count(*)"
+    q, d, t, y = *_XS, "l_extendedprice"
+    return f"""with m as (select {c(q, q)} + {ridge} as a, {c(q, d)} as b, {c(q, t)} as c, {c(d, d)} + {ridge} as e, {c(d, t)} as f, {c(t, t)} + {ridge} as i, {c(q, y)} as u, {c(d, y)} as v, {c(t, y)} as w,
+        avg({q}) as mq, avg({d}) as md, avg({t}) as mt, avg({y}) as my from lineitem),
+        s as (select *, a * (e * i - f * f) - b * (b * i - f * c) + c * (b * f - e * c) as det from m),
+        x as (select *, (u * (e * i - f * f) - b * (v * i - f * w) + c * (v * f - e * w)) / det as t1, (a * (v * i - f * w) - u * (b * i - f * c) + c * (b * w - v * c)) / det as t2,
+              (a * (e * w - v * f) - b * (b * w - v * c) + u * (b * f - e * c)) / det as t3 from s)
+        select unnest(['1', '{q}', '{d}', '{t}']) as term, round(unnest([my - t1 * mq - t2 * md - t3 * mt, t1, t2, t3]), 3) as weight from x"""
+
+
 def oracle_sql() -> dict[str, str]:
     cost = "round(sum(power(10.0 + 1500.0 * l_quantity + 3.0 * l_discount - 2.0 * l_tax - l_extendedprice, 2)) / (2 * count(*))"
     return {
@@ -141,6 +153,8 @@ def oracle_sql() -> dict[str, str]:
             select round(sum(n * power(m - mean, 2)) / any_value(total), 6) as eta2 from g, a""",
         "sigmoid": "select c_custkey, round(1 / (1 + exp(-c_acctbal / 1000)), 6) as s from customer",
         "linreg_1d": "select round(regr_intercept(l_extendedprice, l_quantity), 3) as intercept, round(regr_slope(l_extendedprice, l_quantity), 3) as slope from lineitem",
+        "linreg_multi": _solve(0),
+        "ridge": _solve(50),
         "linreg_cost": f"select {cost}, 2) as cost from lineitem",
         "linreg_legacy_cost": f"select {cost} + 0.25 * (1500.0 * 1500.0 + 13.0), 2) as cost from lineitem",
         "bic": """with v as (select label as c, unnest(embedding)::double as v, unnest(range(64)) as dim from embeddings),
