@@ -24,7 +24,7 @@ def baskets(rows: DataFrame) -> DataFrame:
     return rows.select("txn", plain_item(F.col("item")).alias("item")).where(F.col("txn").isNotNull() & (F.col("item") != "")).distinct()
 
 
-def pair_counts(items: DataFrame, min_count: int = 1, chunk: int = 256) -> DataFrame:
+def pair_counts(items: DataFrame, min_count: int = 1, chunk: int = 64) -> DataFrame:
     """(item_a, item_b, n_a, n_b, n_ab), item_a < item_b, with n_ab >= min_count.
 
     `items` is distinct (txn, item), staged, as it is read for the item counts and for the baskets.

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.indexing import number_rows
 from ..staging import shuffle_partitions, small, stage
 from .logs import hot_salts, with_following
 
@@ -123,11 +124,12 @@ def frequent_subsequences(
     n_hosts = seq.select("host_id").distinct().count()
     least = max(min_hosts, ceil(Fraction(str(min_share)) * n_hosts), 1)
 
-    # There are at most rows / least such terms, whatever the vocabulary.
-    frequent = per_term.where(F.col("total") >= least).orderBy(F.desc("total"), "log").collect()
-    codes = spark.createDataFrame([(r["log"], i, r["total"]) for i, r in enumerate(frequent)], "log string, code int, total bigint")
+    # At most rows / least terms are frequent. They are numbered in place, not on the driver.
+    codes = stage(number_rows(per_term.where(F.col("total") >= least), F.desc("total"), "log", name="code").select("log", F.col("code").cast("int").alias("code"), "total"), "codes")
+    n_codes, width = codes.agg(F.count("*"), F.max(F.length("log"))).first()
+    row_bytes = 4 * (width or 0) + 32
     salts = hot_salts(codes, "code", "total")
-    coded = seq.join(small(codes.select("log", "code"), len(frequent), 200), "log", "left").select(
+    coded = seq.join(small(codes.select("log", "code"), n_codes, row_bytes), "log", "left").select(
         "host_id", "block", "pos", F.coalesce("code", F.lit(-1)).alias("code")
     )
     span = max_gap * (steps - 1)
@@ -166,7 +168,7 @@ def frequent_subsequences(
     names = codes.select("log", "code")
     return (
         found.select("id", "hosts", F.posexplode("steps").alias("place", "code"))
-        .join(small(names, len(frequent), 200), "code")
+        .join(small(names, n_codes, row_bytes), "code")
         .groupBy("id", "hosts")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "log"))), lambda x: x["log"]).alias("steps"))
         .select("steps", F.size("steps").alias("n"), "hosts")
