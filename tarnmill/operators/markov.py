@@ -142,3 +142,33 @@ def generate(counts: DataFrame, number: int = 1, seed: int = 0, start: str | Non
             pos += 1
             rows.append((host, pos, state))
     return counts.sparkSession.createDataFrame(rows, "host int, pos int, log string")
+
+
+def generate_next(counts: DataFrame, state: str | list[str], seed: int = 0) -> str | None:
+    """A random follower of a state (EOS may be one), by the counts; None for an unknown state. Only
+    the rows of that state are brought to the driver."""
+    value = F.array(*map(F.lit, state)) if isinstance(state, (list, tuple)) else F.lit(state)
+    rows = counts.where(F.col("state") == value).select("next", "cnt").orderBy("next").collect()
+    return random.Random(seed).choices([r["next"] for r in rows], [r["cnt"] for r in rows])[0] if rows else None
+
+
+def generate_order(counts: DataFrame, starts: DataFrame, number: int = 1, seed: int = 0, start: list[str] | None = None, max_len: int = 1000) -> DataFrame:
+    """(host, pos, log): random sequences of a model of order k, from its start probabilities or from
+    k given items; each ends at EOS, at an unknown state, or at max_len items."""
+    table: dict[tuple, tuple[list[str], list[int]]] = {}
+    for r in counts.orderBy("state", "next").collect():
+        nxt, cnt = table.setdefault(tuple(r["state"]), ([], []))
+        nxt.append(r["next"])
+        cnt.append(r["cnt"])
+    first = [(tuple(r["state"]), r["cnt"]) for r in starts.orderBy("state").collect()]
+    rng, rows = random.Random(seed), []
+    for host in range(number if first or start else 0):
+        items = list(start) if start else list(rng.choices([f for f, _ in first], [c for _, c in first])[0])
+        k = len(items)
+        while len(items) < max_len and (now := tuple(items[-k:])) in table:
+            nxt = rng.choices(*table[now])[0]
+            if nxt == EOS:
+                break
+            items.append(nxt)
+        rows += [(host, i, x) for i, x in enumerate(items, 1)]
+    return counts.sparkSession.createDataFrame(rows, "host int, pos int, log string")

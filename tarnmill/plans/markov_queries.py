@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import markov
-from ..staging import stage
+from ..sources.tables import table
+from ..staging import staging_dir
+from ..streaming import transitions
 from .base import SEQ, r6
 from .base import sequences as seq_of
 
@@ -72,10 +76,25 @@ def order2_sequence_probability(spark: SparkSession, d: str) -> DataFrame:
     return markov.order_sequence_probability(short, probs, markov.start_probabilities(seq, 2), 2).select("host", r6("prob"))
 
 
+def order2_generate(spark: SparkSession, d: str) -> DataFrame:
+    seq = seq_of(spark, d)
+    return markov.generate_order(markov.order_counts(seq, 2), markov.start_probabilities(seq, 2), 5, seed=11)
+
+
+def stream_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream, taken up to now; counts of pairs within and across micro-batches."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    pairs = transitions.transition_pairs(stream, "user_id", "ts", "event_id", "event_type")
+    folder = f"{staging_dir(spark)}/tarnmill/stream-{uuid.uuid4().hex}"
+    transitions.stream_counts(pairs, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    return transitions.read_counts(spark, f"{folder}/counts")
+
+
 def queries() -> dict:
     names = (
         "markov_counts markov_probs markov_extend subsequent_probability sequence_probability stationary_distribution markov_generate "
-        "order2_probs order3_counts order2_extend start_probs order2_sequence_probability"
+        "order2_generate stream_transitions order2_probs order3_counts order2_extend start_probs order2_sequence_probability"
     ).split()
     return {n: globals()[n] for n in names}
 
@@ -96,6 +115,7 @@ s2 as (select state, count(*) as cnt, count(*) / (sum(count(*)) over ())::double
 def oracle_sql() -> dict[str, str]:
     return {
         "markov_counts": _M + "select * from c",
+        "stream_transitions": _M + "select * from c where next <> '<EOS>'",
         "markov_probs": _M + "select state, next, cnt, round(prob, 6) as prob from q",
         "markov_extend": _M + "select state, next, cnt, round(prob, 6) as prob from q",
         "subsequent_probability": _M + "select next, round(prob, 6) as prob from q where state = 'click'",

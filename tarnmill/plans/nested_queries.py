@@ -45,6 +45,12 @@ def p6_iterations(spark: SparkSession, d: str) -> DataFrame:
     return nested.report_iterations(table(spark, d, "raw_reports"))
 
 
+def flatten_json(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves of raw_reports.body, without those under keys that are data (trees and their runs)."""
+    flat = nested.flatten_json(table(spark, d, "raw_reports"), "report_id", "body")
+    return flat.where(~F.col("path").rlike("^(process_trees|tree_iterations)"))
+
+
 def p6_objects(spark: SparkSession, d: str) -> DataFrame:
     """Distinct subtrees of agent_states, with the number of their occurrences."""
     states = table(spark, d, "agent_states")
@@ -74,7 +80,7 @@ def p6_addresses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = "p5_found p5_hierarchy p5_descendants p6_found p6_nodes p6_trees p6_reports p6_iterations p6_objects p6_states p6_nics p6_addresses".split()
+    names = "flatten_json p5_found p5_hierarchy p5_descendants p6_found p6_nodes p6_trees p6_reports p6_iterations p6_objects p6_states p6_nics p6_addresses".split()
     return {n: globals()[n] for n in names}
 
 
@@ -104,6 +110,10 @@ n as (select report_id, tree_id, value ->> 'node_id' as node_id, coalesce(value
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "flatten_json": _BODY.rstrip(",\n ") + """, w as (select report_id, id, type, null::varchar as path, value from t where parent is null and type = 'OBJECT'
+              union all select t.report_id, t.id, t.type, concat_ws('->', w.path, t.key), t.value from t join w on t.report_id = w.report_id and t.parent = w.id where w.type = 'OBJECT')
+            select report_id, path, case when type = 'NULL' then null when type = 'ARRAY' then value::varchar else value ->> '$' end as value from w
+            where type <> 'OBJECT' and not regexp_matches(path, '^(process_trees|tree_iterations)')""",
         "p5_found": _TREE + "select guid, root as root_guid from t where depth >= 12 union all select guid, '' from p where guid not in (select guid from t)",
         "p5_hierarchy": _TREE + """select p.guid, coalesce(root, '') as root_guid, coalesce(depth, -1) as depth, path, coalesce(descendants, 0) as descendants, root is null as endless
             from p left join t using (guid) left join below on below.node = p.guid""",

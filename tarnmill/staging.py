@@ -46,12 +46,23 @@ def drop_staged(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+_staged: list[str] = []
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove all staged tables of this process. Results that still read them can't be used after."""
+    while _staged:
+        _remove(spark, _staged.pop())
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and return the written table (same columns and types)."""
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/tarnmill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _staged:
+        atexit.register(clear_staged, spark)
+    _staged.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarnmill_path = path
     return out

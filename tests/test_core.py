@@ -172,6 +172,17 @@ def test_markov_golden(spark):
     assert s.agg(F.sum("prob")).first()[0] == pytest.approx(1)
 
 
+def test_generate(spark):
+    seq = seq_df(spark, MARKOV)
+    c = markov.transition_counts(seq)
+    assert markov.generate_next(c, "7610", 3) in ("7610", markov.EOS) and markov.generate_next(c, "none") is None
+    o, s = markov.order_counts(seq, 2), markov.start_probabilities(seq, 2)
+    assert markov.generate_next(o, ["4107", "4107"], 1) in ("4107", "7610")
+    g = rows(markov.generate_order(o, s, 4, seed=2))
+    assert g == rows(markov.generate_order(o, s, 4, seed=2)) and {h for h, _, _ in g} == {0, 1, 2, 3}
+    assert rows(markov.generate_order(o, s, 1, start=["x", "y"])) == [(0, 1, "x"), (0, 2, "y")]
+
+
 def test_order_two_golden(spark):
     seq = seq_df(spark, [["4107", "4107", "4107", "7610"], ["7610"] * 4, ["4107", "4107", "7610"], ["1"]])
     p = markov.probabilities(markov.order_counts(seq, 2))
@@ -275,9 +286,12 @@ def test_parse_json_against_library():
         v = nested.parse_json(t)
         assert json.loads(t) == (json.loads(v) if isinstance(v, nested.Number) else v) or t.startswith(("{", "[")), t
     assert nested.parse_json('{"a":[1,2,{"b":null}],"a":3}') == {"a": "3"}
+    for t in good:
+        assert nested._parse_deep(t) == nested.parse_json(t)
     for t in ["", "{", "{'a':1}", "[1,]", "NaN", "n/a", '{"a" 1}', "[1] 2", '"', "01", "{,}", '{"a":}', "[1 2]"]:
-        with pytest.raises(ValueError):
-            nested.parse_json(t)
+        for parse in (nested.parse_json, nested._parse_deep):
+            with pytest.raises(ValueError):
+                parse(t)
     deep = "[" * 50_000 + "]" * 50_000
     assert len(nested.merkle_rows(nested.parse_json("[" * 3000 + "]" * 3000), None)) == 3000
     assert nested.parse_json(deep) is not None
@@ -315,13 +329,19 @@ def test_process_nodes_brute(spark):
     assert got == want and len(want) > 1000
 
 
+def test_flatten_json(spark):
+    bodies = [(1, '{"a":{"b":[1,{"z":null,"c":"é"}],"e":{}},"n":null,"t":true,"s":"x"}'), (2, "[1]"), (3, None), (4, "{"), (5, '"{\\"q\\":1.50}"')]
+    got = rows(nested.flatten_json(spark.createDataFrame(bodies, "path int, value string").withColumnsRenamed({"path": "id", "value": "text"}), "id", "text"))
+    assert sorted(map(str, got)) == sorted(map(str, [(1, "a->b", '[1,{"c":"é","z":null}]'), (1, "n", None), (1, "s", "x"), (1, "t", "true"), (5, "q", "1.50")]))
+
+
 def test_merkle_identity(spark):
-    bodies = [(1, '{"x":{"b":1,"a":[1,{"q":null}]},"y":{"a":[1,{"q":null}],"b":1}}'), (2, '"{\\"z\\":{}}"'), (3, "bad"), (4, None), (5, ""), (6, "[]"), (7, '{"é/~":{"t":"\\ud800"}}')]
+    bodies = [(1, '{"x":{"b":1,"a":[1,{"q":null}]},"y":{"a":[1,{"q":null}],"b":1}}'), (2, '"{\\"z\\":{}}"'), (3, "bad"), (4, None), (5, ""), (6, "[]"), (7, '{"é/~":{"t":"\\ud800"}}'), (8, '{"\\udc00":[]}')]
     df = spark.createDataFrame(bodies, "hash int, content string")
     objects, bridge = nested.merkle_tables(df.withColumnsRenamed({"hash": "id", "content": "text"}), "id", "text")
     assert {r["uses"] for r in objects.where("content like '%\"b\":1%'").collect()} == {2}
     b = bridge.collect()
-    assert {r["id"] for r in b} == {1, 2, 6, 7}
+    assert {r["id"] for r in b} == {1, 2, 6, 7, 8}
     assert sorted(r["pointer"] for r in b if r["id"] == 1) == ["", "/x", "/x/a", "/x/a/1", "/y", "/y/a", "/y/a/1"]
     assert [r["pointer"] for r in b if r["id"] == 7 and r["occ"] == 1] == ["/é~1~0"]
     # Put together again.
