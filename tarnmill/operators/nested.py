@@ -30,9 +30,21 @@ class Number(str):
     """A number as it was written, so that no digit is lost."""
 
 
+def _no_constant(word: str):
+    raise ValueError(f"{word} is no JSON")
+
+
 def parse_json(text: str):
-    """JSON of any depth, without recursion. Raises ValueError if it is not valid (NaN is not).
-    Of repeated keys of an object the last counts. Numbers keep their spelling."""
+    """JSON of any depth. Raises ValueError if it is not valid (NaN is not). Of repeated keys of an
+    object the last counts. Numbers keep their spelling."""
+    try:
+        return json.loads(text, parse_int=Number, parse_float=Number, parse_constant=_no_constant)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+def _parse_deep(text: str):
+    """As `parse_json`, without recursion."""
     stack: list = []
     i, n = _SPACE.match(text, 0).end(), len(text)
 
@@ -115,6 +127,13 @@ def parse_body(text: str | None):
         return None
 
 
+def _utf8(s: str | None) -> str | None:
+    """Halves of surrogate pairs, which a column can't hold, as question marks."""
+    if s is None or s.isascii():
+        return s
+    return s.encode("utf-8", "replace").decode("utf-8")
+
+
 def _scalar(v) -> str:
     return str(v) if isinstance(v, Number) else json.dumps(v, ensure_ascii=False)
 
@@ -143,7 +162,7 @@ def merkle_rows(root, anchor: str | None) -> list[tuple]:
             k, x = items[j]
             if isinstance(x, (dict, list)):
                 name = str(j) if k is None else k.replace("~", "~0").replace("/", "~1")
-                stack.append((x, occ, below, f"{pointer}/{name}", k, j))
+                stack.append((x, occ, below, _utf8(f"{pointer}/{name}"), _utf8(k), j))
     for occ, v in reversed(order):  # children come after their parent
         def part(x):
             return f'{{"#":"{rows[at_id[id(x)]][6]}"}}' if isinstance(x, (dict, list)) else _scalar(x)
@@ -153,7 +172,7 @@ def merkle_rows(root, anchor: str | None) -> list[tuple]:
         else:
             content = "[" + ",".join(map(part, v)) + "]"
         rows[occ][6] = hashlib.sha256(content.encode("utf-8", "surrogatepass")).hexdigest()[:32]
-        rows[occ][7] = content.encode("utf-8", "replace").decode("utf-8")
+        rows[occ][7] = _utf8(content)
     return [tuple(r) for r in rows]
 
 
@@ -259,3 +278,58 @@ def report_trees(reports: DataFrame, key: str = "report_id", body: str = "body")
     return entries.join(objects.where(F.col("content").startswith("{")), "hash").select(
         key, F.coalesce(F.get_json_object("content", "$.tree_id"), "field", F.lit("")).alias("tree_id"), "ordinal", "hash"
     )
+
+
+def flatten_json(df: DataFrame, key: str, body: str, sep: str = "->") -> DataFrame:
+    """(key, path, value): each leaf of a JSON object under its keys joined by `sep`. A list is a leaf,
+    given as JSON, and so is any scalar, given as text (null stays null); empty objects vanish.
+    Bodies that are no JSON object give nothing."""
+    src = df.select(df[key].alias(key), df[body].alias("__body"))
+    schema = T.StructType([src.schema[key], *T._parse_datatype_string("path string, value string").fields])
+    names = [f.name for f in schema.fields]
+
+    def text(v):
+        if isinstance(v, list):
+            return canonical(v)
+        return v if v is None or isinstance(v, str) else "true" if v else "false"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, paths, values = [], [], []
+            for k, body_ in zip(b.column(0).to_pylist(), b.column(1)):
+                v = parse_body(body_.as_py())
+                stack = [((), v)] if isinstance(v, dict) else []
+                while stack:
+                    at, x = stack.pop()
+                    if isinstance(x, dict):
+                        stack += [((*at, name), y) for name, y in reversed(x.items())]
+                    else:
+                        keys.append(k)
+                        paths.append(_utf8(sep.join(at)))
+                        values.append(_utf8(text(x)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(paths, pa.string()), pa.array(values, pa.string())], names=names)
+
+    return src.mapInArrow(run, schema)
+
+
+def canonical(root) -> str:
+    """Compact JSON with sorted keys of a parsed value."""
+    out: list[str] = []
+    stack: list = [root]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, tuple):  # text that is written as it is
+            out.append(v[0])
+        elif isinstance(v, dict):
+            parts: list = [("{",)]
+            for i, k in enumerate(sorted(v)):
+                parts += [(("," if i else "") + json.dumps(k, ensure_ascii=False) + ":",), v[k]]
+            stack += reversed([*parts, ("}",)])
+        elif isinstance(v, list):
+            parts = [("[",)]
+            for i, x in enumerate(v):
+                parts += [(",",), x] if i else [x]
+            stack += reversed([*parts, ("]",)])
+        else:
+            out.append(_scalar(v))
+    return "".join(out)
