@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
@@ -84,20 +84,28 @@ def weights(counts: DataFrame, hosts: int, norm: str | None = "l2", use_ihf: boo
     if norm not in ("l1", "l2", None) or lf_type not in ("natural", "log", "bool", "pct"):
         raise ValueError("unknown norm or lf_type")
     cnt = F.col("cnt").cast("double")
-    per_host = Window.partitionBy("host")
-    lf = {"natural": cnt, "log": F.when(cnt > 0, 1 + F.log(cnt)).otherwise(0.0), "bool": F.when(cnt > 0, 1.0).otherwise(0.0), "pct": cnt}[lf_type]
     if lf_type == "pct":
-        row = F.sum(cnt).over(per_host)
-        lf = F.when(row > 0, cnt / row).otherwise(0.0)
-    out = counts.withColumn("lf", lf)
+        rows = counts.groupBy("host").agg(F.sum(cnt).alias("row"))
+        out = counts.join(rows, "host").withColumn("lf", F.when(F.col("row") > 0, cnt / F.col("row")).otherwise(0.0))
+    else:
+        out = counts.withColumn("lf", {"natural": cnt, "log": F.when(cnt > 0, 1 + F.log(cnt)).otherwise(0.0), "bool": F.when(cnt > 0, 1.0).otherwise(0.0)}[lf_type])
     if use_ihf:
         s = 1.0 if smooth else 0.0
         hf = counts.where("cnt > 0").groupBy("log").agg((F.log(F.lit(hosts + s) / (F.count("*") + F.lit(s))) + 1).alias("ihf"))
         out = out.join(hf, "log").withColumn("w", F.col("lf") * F.col("ihf"))
     else:
         out = out.withColumn("w", F.col("lf"))
-    size = {"l2": F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_host)), "l1": F.sum(F.abs("w")).over(per_host), None: F.lit(1.0)}[norm]
-    return out.withColumn("size", size).select("host", "log", F.when(F.col("size") > 0, F.col("w") / F.col("size")).otherwise(0.0).alias("value"))
+    return _normalised(out, norm).select("host", "log", "value")
+
+
+def _normalised(weighted: DataFrame, norm: str | None) -> DataFrame:
+    """`weighted` with `value`, w over the size of the host's row. Sizes are merged before the
+    shuffle and joined back, so a host with very many logs is not one task."""
+    if norm is None:
+        return weighted.withColumn("value", F.col("w"))
+    size = F.sqrt(F.sum(F.col("w") * F.col("w"))) if norm == "l2" else F.sum(F.abs("w"))
+    sizes = weighted.groupBy("host").agg(size.alias("size"))
+    return weighted.join(sizes, "host").withColumn("value", F.when(F.col("size") > 0, F.col("w") / F.col("size")).otherwise(0.0))
 
 
 class LogVectorizer:
@@ -134,9 +142,7 @@ class LogVectorizer:
             return counts.select("host", "idx", "log", F.col("cnt").alias("value"))
         lf = weights(counts.select("host", "log", "cnt"), 1, None, False, self.smooth, self.lf_type)
         w = lf.join(self.ihf_, "log").withColumn("w", F.col("value") * F.col("ihf"))
-        per_host = Window.partitionBy("host")
-        size = {"l2": F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_host)), "l1": F.sum(F.abs("w")).over(per_host), None: F.lit(1.0)}[self.norm]
-        return w.withColumn("size", size).join(self.logs_, "log").select("host", "idx", "log", F.when(F.col("size") > 0, F.col("w") / F.col("size")).otherwise(0.0).alias("value"))
+        return _normalised(w.select("host", "log", "w"), self.norm).join(self.logs_, "log").select("host", "idx", "log", "value")
 
     def fit_transform(self, seq: DataFrame) -> DataFrame:
         return self.fit(seq).transform(seq)

@@ -55,10 +55,13 @@ def append_network_data(rows: DataFrame, ip: str, subnets: DataFrame, attributes
     are named). Bad addresses and addresses without subnet have nulls. Looked up once per address."""
     if isinstance(attributes, str):
         raise ValueError("attributes must be a list")
-    hit = find_subnets(rows, ip, subnets).join(subnets.select("cidr", "attrs").dropDuplicates(["cidr"]), "cidr")
+    hit = stage(find_subnets(rows, ip, subnets), "addresses")
+    n = hit.count()
+    hit = hit.join(subnets.select("cidr", "attrs").dropDuplicates(["cidr"]), "cidr")
     values = [F.col("attrs")] if attributes is None else [F.try_element_at("attrs", F.lit(a)).alias(a) for a in attributes]
     named = hit.select(F.col("ip").alias("__ip"), "cidr", *values)
-    return rows.join(named, rows[ip].cast("string") == named["__ip"], "left").drop("__ip")
+    # A join with few addresses is no shuffle; else a frequent address is split by adaptive execution.
+    return rows.join(small(named, n, 512), rows[ip].cast("string") == named["__ip"], "left").drop("__ip")
 
 
 def subnet_members(ips: DataFrame, ip: str, subnets: DataFrame) -> DataFrame:

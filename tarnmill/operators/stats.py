@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .indexing import number_rows
+
 
 def describe(df: DataFrame, value: str) -> DataFrame:
     """One row: count, mean, population std, min, quartiles (interpolated), max. Nulls are left out;
@@ -173,11 +175,17 @@ def fourier_extrapolation(df: DataFrame, series: str, t: str, value: str, harmon
     return src.groupBy("series").applyInPandas(rebuild, "series string, t bigint, value double")
 
 
-def rolling(df: DataFrame, keys: list[str], order: list[str], value: str, periods: int = 12) -> DataFrame:
-    """`df` with rolling mean and sample std over the last `periods` rows, null until there are so many."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(periods - 1), 0)
+def rolling(df: DataFrame, keys: list[str], order: list[str], value: str, periods: int = 12, block: int = 1 << 16) -> DataFrame:
+    """`df` with rolling mean and sample std over the last `periods` rows of a series, null until
+    there are so many. Rows are numbered by (keys, order) and cut into blocks, each with copies of the
+    rows just before it, so a long series is spread over tasks."""
+    rows = number_rows(df, *keys, *order, name="__at")
+    home = F.floor(F.col("__at") / block)
+    homes = F.when(F.col("__at") % block > block - periods, F.array(home, home + 1)).otherwise(F.array(home))
+    w = Window.partitionBy(*keys, "__block").orderBy("__at").rowsBetween(-(periods - 1), 0)
     full = F.count(value).over(w) == periods
-    return df.withColumn("rolling_mean", F.when(full, F.avg(value).over(w))).withColumn("rolling_std", F.when(full, F.stddev_samp(value).over(w)))
+    out = rows.withColumn("__block", F.explode(homes)).withColumn("rolling_mean", F.when(full, F.avg(value).over(w))).withColumn("rolling_std", F.when(full, F.stddev_samp(value).over(w)))
+    return out.where(F.col("__block") == home).drop("__block", "__at")
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:

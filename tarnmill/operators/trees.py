@@ -221,21 +221,21 @@ def find_matches(trees: DataFrame, signature: str) -> DataFrame:
 
 
 def build_master(host_trees: DataFrame, name: str, digits: int = 7) -> DataFrame:
-    """(master_id, signature, hosts, tree_hosts): one master tree for each signature of the deduped
-    trees, numbered by its least (host_id, tree_id). tree_hosts maps hosts to their tree; a host
-    with two equal trees is an error."""
+    """(master_id, signature, hosts): one master tree for each signature of the deduped trees,
+    numbered by its least (host_id, tree_id). A host with two equal trees is an error."""
     from .indexing import number_rows
 
-    grouped = host_trees.groupBy("signature").agg(
-        F.min(F.struct("host_id", "tree_id")).alias("first"), F.count("*").alias("hosts"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("host_id", "tree_id")))).alias("tree_hosts")
-    )
+    per_host = host_trees.groupBy("signature", "host_id").agg(F.min("tree_id").alias("tree_id"), F.count("*").alias("n"))
+    once = F.when(F.col("n") == 1, F.col("tree_id")).otherwise(F.raise_error(F.lit("a host has two equal trees; dedupe first")).cast("string"))
+    grouped = per_host.groupBy("signature").agg(F.min(F.struct("host_id", once.alias("tree_id"))).alias("first"), F.count("*").alias("hosts"))
     numbered = number_rows(grouped, F.col("first.host_id"), F.col("first.tree_id"), name="no", start=1)
-    return numbered.select(F.concat(F.lit(f"{name}_MasterTree_"), F.lpad(F.col("no").cast("string"), digits, "0")).alias("master_id"), "signature", "hosts", "tree_hosts")
+    return numbered.select(F.concat(F.lit(f"{name}_MasterTree_"), F.lpad(F.col("no").cast("string"), digits, "0")).alias("master_id"), "signature", "hosts")
 
 
-def containing_hosts(master: DataFrame) -> DataFrame:
-    """(master_id, host_id, tree_id)."""
-    return master.select("master_id", F.explode("tree_hosts").alias("host_id", "tree_id"))
+def containing_hosts(master: DataFrame, host_trees: DataFrame) -> DataFrame:
+    """(master_id, host_id, tree_id): the mapping of master trees to hosts, in long form, as a tree may
+    be on very many hosts."""
+    return host_trees.join(master.select("signature", "master_id"), "signature").select("master_id", "host_id", "tree_id")
 
 
 def find_in_master(master: DataFrame, trees: DataFrame) -> DataFrame:

@@ -129,7 +129,8 @@ def master_build(spark: SparkSession, d: str) -> DataFrame:
 
 
 def containing_hosts(spark: SparkSession, d: str) -> DataFrame:
-    return trees.containing_hosts(trees.build_master(_host_trees(spark, d), "all"))
+    host_trees = stage(_host_trees(spark, d), "host-trees")
+    return trees.containing_hosts(trees.build_master(host_trees, "all"), host_trees)
 
 
 def find_in_master(spark: SparkSession, d: str) -> DataFrame:
@@ -159,8 +160,7 @@ def host_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def master_json(spark: SparkSession, d: str) -> DataFrame:
-    master = trees.build_master(_host_trees(spark, d), "all")
-    return tree_json.master_from_json(tree_json.master_to_json(master, "all"))
+    return tree_json.master_from_json(tree_json.master_to_json(containing_hosts(spark, d), "all"))
 
 
 def queries() -> dict:

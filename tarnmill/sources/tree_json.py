@@ -56,10 +56,12 @@ def host_to_json(hosts: DataFrame, trees: DataFrame, iterations: DataFrame) -> D
     return every.select("host_id", F.to_json(F.struct(*[c for c in every.columns])).alias("json"))
 
 
-def master_to_json(master: DataFrame, name: str) -> DataFrame:
-    """(name, master_id, json) with the mapping of hosts to trees of each master tree."""
-    body = F.struct(F.lit(name).alias("name"), "master_id", F.col("tree_hosts").alias("tree_host_mapping"))
-    return master.select(F.lit(name).alias("name"), "master_id", F.to_json(body).alias("json"))
+def master_to_json(mapping: DataFrame, name: str) -> DataFrame:
+    """(name, master_id, json) of (master_id, host_id, tree_id): a master tree is one document, so its
+    hosts are gathered in one row."""
+    hosts = mapping.groupBy("master_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("host_id", "tree_id")))).alias("tree_host_mapping"))
+    body = F.struct(F.lit(name).alias("name"), "master_id", "tree_host_mapping")
+    return hosts.select(F.lit(name).alias("name"), "master_id", F.to_json(body).alias("json"))
 
 
 def master_from_json(docs: DataFrame, column: str = "json") -> DataFrame:

@@ -423,6 +423,15 @@ def test_yates_with_empty_cell(spark):
 # --- others -----------------------------------------------------------------------------------
 
 
+def test_rolling_over_blocks(spark):
+    rng = np.random.default_rng(4)
+    data = [(k, i, float(v)) for k in ("a", "b", "c") for i, v in enumerate(rng.normal(size=20 if k != "c" else 2))]
+    df = spark.createDataFrame(data, "k string, i int, v double")
+    want = {(k, i): np.mean([v for kk, j, v in data if kk == k and i - 2 <= j <= i]) if i >= 2 else None for k, i, _ in data}
+    got = {(r["k"], r["i"]): r["rolling_mean"] for r in stats.rolling(df, ["k"], ["i"], "v", 3, block=4).collect()}
+    assert got.keys() == want.keys() and all((got[x] is None) == (want[x] is None) and (want[x] is None or abs(got[x] - want[x]) < 1e-9) for x in want)
+
+
 def test_weeks_with_gap(spark):
     df = spark.sql("select * from values (timestamp_ntz'2024-01-03 05:00:00', 1), (timestamp_ntz'2024-01-08 00:00:00', 2), (timestamp_ntz'2024-01-10 05:00:00', 3) t(ts, v)")
     got = {r["label"]: (r["week_0"], r["week_1"]) for r in timeseries.split_weeks(df, "ts", "v").collect()}
