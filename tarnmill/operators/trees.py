@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .hierarchy import ancestors
+from .hierarchy import ancestors, roots
 
 _CUT = "\u0001"
 
@@ -43,6 +43,12 @@ def paths(nodes: DataFrame) -> DataFrame:
     )
 
 
+def levels(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, root_id, depth) as in `paths`, without paths: fewer and narrower joins."""
+    r = roots(nodes.select(_key("tree_id", "node_id").alias("key"), _key("tree_id", "parent_id").alias("up")), "key", "up")
+    return r.select(F.substring_index("node", _CUT, 1).alias("tree_id"), F.substring_index("node", _CUT, -1).alias("node_id"), F.substring_index("root", _CUT, -1).alias("root_id"), "depth")
+
+
 def edges(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent_id is not null").select("tree_id", "parent_id", "node_id")
 
@@ -54,7 +60,7 @@ def leaves(nodes: DataFrame) -> DataFrame:
 
 
 def layers(found: DataFrame) -> DataFrame:
-    """(tree_id, layer, nodes): number of nodes in each layer of `paths`."""
+    """(tree_id, layer, nodes): number of nodes in each layer of `levels` or `paths`."""
     return found.where("depth >= 0").groupBy("tree_id", F.col("depth").alias("layer")).agg(F.count("*").alias("nodes"))
 
 

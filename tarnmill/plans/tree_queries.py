@@ -30,11 +30,11 @@ def tree_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_layers(spark: SparkSession, d: str) -> DataFrame:
-    return trees.layers(_paths(spark, d))
+    return trees.layers(trees.levels(_nodes(spark, d)))
 
 
 def tree_depth(spark: SparkSession, d: str) -> DataFrame:
-    return trees.depths(_paths(spark, d))
+    return trees.depths(trees.levels(_nodes(spark, d)))
 
 
 def tree_leaves(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def tree_validate(spark: SparkSession, d: str) -> DataFrame:
     """With the first child of user 1 taken out, and a cycle put in for user 2."""
     nodes = _nodes(spark, d)
     broken = nodes.where("not (tree_id = '1' and node_id = '2')").withColumn("parent_id", F.when(F.expr("tree_id = '2' and node_id = '2'"), F.lit("4")).otherwise(F.col("parent_id")))
-    return trees.validate(broken, trees.paths(broken))
+    return trees.validate(broken, trees.levels(broken))
 
 
 def tree_signature_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -76,3 +76,12 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores if it comes in fewer partitions, as a single small file does; else as it
+    is. For work that costs far more a row than moving the row. A plan that shuffles is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # asking for its partitions would run it
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
