@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import stage
+from ..staging import spread, stage
 
 #: Cells of the word counts.
 CELLS = 1 << 16
@@ -44,9 +44,9 @@ def _cell(lang: Column, word: Column) -> Column:
 def word_cells(docs: DataFrame) -> DataFrame:
     """(cell, rarity): minus the log of the share that the words of a cell have of all words of
     (lang, text); at most CELLS rows."""
-    counts = (
-        _words(docs).select("lang", F.explode("words").alias("w")).groupBy(_cell(F.col("lang"), F.col("w")).alias("cell")).agg(F.count("*").alias("n"))
-    )
+    # An inner explode would make Spark find all words twice, once for a filter on empty lists.
+    words = _words(docs).select("lang", F.explode_outer("words").alias("w")).where("w is not null")
+    counts = words.groupBy(_cell(F.col("lang"), F.col("w")).alias("cell")).agg(F.count("*").alias("n"))
     counts = stage(counts, "word-cells")
     total = counts.agg(F.sum("n")).first()[0] or 1
     return counts.select("cell", (F.log(F.lit(float(total))) - F.log(F.col("n").cast("double"))).alias("rarity"))
@@ -166,6 +166,7 @@ def reading_levels(
     a grade like all others. Without any label there is nothing to fit and the grade is null.
     """
     wanted = docs.select("doc_id", plain_lang(F.col("lang")).alias("lang"), "text").where(F.col("lang").isin(*langs) & F.col("text").rlike(r"[^\s\p{Z}]"))
+    wanted = spread(wanted)
     feats = stage(text_features(wanted, word_cells(wanted)), "reading-features")
     stats = {r["lang"]: r for r in feats.groupBy("lang").agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES]).collect()}
 
