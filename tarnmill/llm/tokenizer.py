@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..staging import spread
+
 #: Where the vocabulary files lie, unless a path is given.
 FOLDER = os.environ.get("TARNMILL_TOKENIZERS", "/opt/tokenizers")
 #: The split pattern that belongs to the byte-level vocabularies (fixed value).
@@ -134,7 +136,7 @@ def _apply(df: DataFrame, text: str, out: str, kind: T.DataType, arrow, make, pa
     keep = [c for c in df.columns if c != text] if keep is None else keep
     if out in keep:
         raise ValueError(f"column {out} is there already; name another")
-    src = df.select(*[df[c] for c in keep], df[text].alias(_free_name(df, "text_")))
+    src = spread(df.select(*[df[c] for c in keep], df[text].alias(_free_name(df, "text_"))))
     raw = df.sparkSession.sparkContext.broadcast(vocabulary(path=path))  # a file of fixed size
     schema = T.StructType([*src.schema.fields[:-1], T.StructField(out, kind, False)])
 
