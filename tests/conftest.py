@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -12,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(8, 4, "tests")
+    s = local_session(int(os.environ.get("CORES", "8")), 4, "tests")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
