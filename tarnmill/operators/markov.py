@@ -78,8 +78,7 @@ def start_probabilities(seq: DataFrame, order: int = 2) -> DataFrame:
         first = first.where(F.col(f"next{order - 1}").isNotNull())
     state = F.array("log", *[F.col(f"next{j}.log") for j in range(1, order)])
     counts = first.groupBy(state.alias("state")).agg(F.count("*").alias("cnt"))
-    total = counts.agg(F.sum("cnt").alias("total"))  # one row
-    return counts.join(F.broadcast(total)).select("state", "cnt", (F.col("cnt").cast("double") / F.col("total")).alias("prob"))
+    return counts.select("state", "cnt", (F.col("cnt").cast("double") / counts.agg(F.sum("cnt")).scalar()).alias("prob"))
 
 
 def order_sequence_probability(seq: DataFrame, probs: DataFrame, starts: DataFrame, order: int = 2) -> DataFrame:

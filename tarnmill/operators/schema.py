@@ -53,20 +53,23 @@ def flatten_df(df: DataFrame, leaf_types: str = "string_array", keep_merged: boo
     return placed.select(*cols)
 
 
-def null_profile(df: DataFrame) -> DataFrame:
-    """One row: for each column the number of nulls (and NaNs of float and double columns)."""
+def _null_counts(df: DataFrame) -> list:
     def missing(f):
         c = _at((f.name,))
         return c.isNull() | F.isnan(c) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c.isNull()
 
-    return df.agg(*[F.count_if(missing(f)).alias(f.name) for f in df.schema.fields])
+    return [F.count_if(missing(f)).alias(f.name) for f in df.schema.fields]
+
+
+def null_profile(df: DataFrame) -> DataFrame:
+    """One row: for each column the number of nulls (and NaNs of float and double columns)."""
+    return df.agg(*_null_counts(df))
 
 
 def drop_all_null(df: DataFrame) -> DataFrame:
     """`df` without the columns that have no value in any row; an empty table keeps all."""
-    names = df.columns
-    row = null_profile(df).join(F.broadcast(df.agg(F.count("*").alias("__rows")))).first()
-    return df if not row["__rows"] else df.select(*[_at((n,)) for n, missing in zip(names, row) if missing < row["__rows"]])
+    *missing, rows = df.agg(*_null_counts(df), F.count("*")).first()
+    return df if not rows else df.select(*[_at((c,)) for c, n in zip(df.columns, missing) if n < rows])
 
 
 def flatten_and_drop_null(df: DataFrame, leaf_types: str = "string_array") -> DataFrame:

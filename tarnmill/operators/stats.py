@@ -34,10 +34,9 @@ def _entropies(df: DataFrame, x: str, y: str) -> DataFrame:
     by_y, by_x = cells.groupBy("y").agg(F.sum("n").alias("ny")), cells.groupBy("x").agg(F.sum("n").alias("nx"))
     # S(x|y) = (sum ny ln ny - sum n ln n) / N; S(x) = ln N - sum nx ln nx / N.
     term = lambda c: F.sum(F.col(c) * F.log(c))
-    a = cells.agg(term("n").alias("a"), F.sum("n").alias("all"))
-    b, c = by_y.agg(term("ny").alias("b")), by_x.agg(term("nx").alias("c"))
-    one = a.join(F.broadcast(b)).join(F.broadcast(c))  # single rows
-    return one.select((F.log("all") - F.col("c") / F.col("all")).alias("s"), ((F.col("b") - F.col("a")) / F.col("all")).alias("s_xy"))
+    one = cells.agg(term("n").alias("a"), F.sum("n").alias("all"))
+    b, c = by_y.agg(term("ny")).scalar(), by_x.agg(term("nx")).scalar()
+    return one.select((F.log("all") - c / F.col("all")).alias("s"), ((b - F.col("a")) / F.col("all")).alias("s_xy"))
 
 
 def conditional_entropy(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -56,8 +55,9 @@ def chi_square(df: DataFrame, x: str, y: str, yates: bool = True) -> DataFrame:
     the difference itself. chi2 = sum over all cells; those without rows add their expectation."""
     cells = _cells(df, x, y)
     by_x, by_y = cells.groupBy("x").agg(F.sum("n").alias("nx")), cells.groupBy("y").agg(F.sum("n").alias("ny"))
-    one = by_x.agg(F.count("*").alias("r"), F.sum("nx").alias("n_all")).join(F.broadcast(by_y.agg(F.count("*").alias("k"))))
-    full = cells.join(by_x, "x").join(by_y, "y").join(F.broadcast(one))
+    full = cells.join(by_x, "x").join(by_y, "y").withColumns(
+        {"r": by_x.agg(F.count("*")).scalar(), "k": by_y.agg(F.count("*")).scalar(), "n_all": by_x.agg(F.sum("nx")).scalar()}
+    )
     e = F.col("nx") * F.col("ny") / F.col("n_all")
     diff = F.abs(F.col("n") - e)
     two = (F.col("r") == 2) & (F.col("k") == 2)
@@ -90,9 +90,9 @@ def corr_ratio(df: DataFrame, category: str, value: str) -> DataFrame:
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull())
     groups = rows.groupBy(F.col(category).alias("c")).agg(F.count("*").cast("double").alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("var"))
-    every = groups.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    mean = groups.agg(F.sum(F.col("n") * F.col("m")) / F.sum("n")).scalar()
     d2 = F.col("n") * F.pow(F.col("m") - F.col("mean"), 2)
-    sums = groups.join(F.broadcast(every)).agg(F.sum(F.when(F.col("c").isNotNull(), d2)).alias("between"), F.sum(d2 + F.col("n") * F.col("var")).alias("total"))
+    sums = groups.withColumn("mean", mean).agg(F.sum(F.when(F.col("c").isNotNull(), d2)).alias("between"), F.sum(d2 + F.col("n") * F.col("var")).alias("total"))
     return sums.select(F.when(F.coalesce("between", F.lit(0.0)) == 0, 0.0).otherwise(F.col("between") / F.col("total")).alias("eta2"))
 
 
@@ -147,7 +147,8 @@ def bic(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     per_c = per.groupBy("c").agg(F.max("n").alias("n"), F.sum(F.col("n") * F.col("var")).alias("ss"), F.count("*").cast("double").alias("d"))
     g = per_c.agg(F.sum("n").alias("rows"), F.count("*").cast("double").alias("m"), F.sum("ss").alias("ss"), F.max("d").alias("d"))
     var = F.col("ss") / ((F.col("rows") - F.col("m")) * F.col("d"))
-    j = per_c.select("n").join(F.broadcast(g.withColumn("pv", var)))  # one row
+    g = g.withColumn("pv", var)
+    j = per_c.select("n").withColumns({c: g.select(c).scalar() for c in ("rows", "m", "d", "pv")})
     n, d = F.col("n"), F.col("d")
     part = n * F.log(n) - n * F.log("rows") - n * d / 2 * F.log(2 * math.pi * F.col("pv")) - (n - 1) * d / 2
     return j.groupBy("rows", "m", "d").agg(F.sum(part).alias("s")).select((F.col("s") - 0.5 * F.col("m") * F.log("rows") * (d + 1)).alias("bic"), F.col("m").cast("long").alias("clusters"))
