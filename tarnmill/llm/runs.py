@@ -15,22 +15,22 @@ from .logs import with_following
 
 
 def links_to_previous(seq: DataFrame) -> DataFrame:
-    """(host_id, pos, ts, to, to_ts): rows equal to the row before them, with a pointer to it."""
+    """(host_id, pos, log, ts, to, to_ts): rows equal to the row before them, with a pointer to it."""
     nxt = with_following(seq, 1, ["pos", "log", "ts"]).withColumn("next", F.get("nexts", F.lit(0)))
     return nxt.where(F.col("next.log") == F.col("log")).select(
-        "host_id", F.col("next.pos").alias("pos"), F.col("next.ts").alias("ts"), F.col("pos").alias("to"), F.col("ts").alias("to_ts")
+        "host_id", F.col("next.pos").alias("pos"), "log", F.col("next.ts").alias("ts"), F.col("pos").alias("to"), F.col("ts").alias("to_ts")
     )
 
 
 def double_pointers(links: DataFrame) -> DataFrame:
-    """`links` (host_id, pos, ts, to, to_ts), staged, with all pointers at the starts of their runs."""
+    """`links` (host_id, pos, log, ts, to, to_ts), staged, with all pointers at the starts of their runs."""
     while True:
         target = links.select("host_id", F.col("pos").alias("to"), F.col("to").alias("to2"), F.col("to_ts").alias("to_ts2"))
         joined = links.join(target, ["host_id", "to"], "left")
         moved = F.col("to2").isNotNull()
         nxt = stage(
             joined.select(
-                "host_id", "pos", "ts", F.coalesce("to2", "to").alias("to"), F.when(moved, F.col("to_ts2")).otherwise(F.col("to_ts")).alias("to_ts"), moved.alias("moved")
+                "host_id", "pos", "log", "ts", F.coalesce("to2", "to").alias("to"), F.when(moved, F.col("to_ts2")).otherwise(F.col("to_ts")).alias("to_ts"), moved.alias("moved")
             ),
             "run-pointers",
         )
@@ -49,21 +49,21 @@ def runs(seq: DataFrame, min_length: int = 1) -> DataFrame:
     (rows of a run may come with skewed clocks). A host with one row has one run. An empty table
     gives none.
     """
+    seq = seq.select("host_id", "block", "pos", "log", "ts")
     links = double_pointers(stage(links_to_previous(seq), "run-links"))
     long = links.groupBy("host_id", F.col("to").alias("start_pos")).agg(
         F.max("pos").alias("end_pos"),
+        F.min("log").alias("log"),
         (F.count("*") + 1).alias("n"),
         F.least(F.min("ts"), F.min("to_ts")).alias("first_ts"),
         F.greatest(F.max("ts"), F.max("to_ts")).alias("last_ts"),
     )
     if min_length > 1:
-        long = long.where(F.col("n") >= min_length)
-        starts = seq.select("host_id", F.col("pos").alias("start_pos"), "log")
-        return starts.join(long, ["host_id", "start_pos"]).select("host_id", "start_pos", "end_pos", "log", "n", "first_ts", "last_ts")
+        return long.where(F.col("n") >= min_length).select("host_id", "start_pos", "end_pos", "log", "n", "first_ts", "last_ts")
     starts = seq.select("host_id", F.col("pos").alias("start_pos"), "log", "ts").join(
         links.select("host_id", F.col("pos").alias("start_pos")), ["host_id", "start_pos"], "left_anti"
     )
-    return starts.join(long, ["host_id", "start_pos"], "left").select(
+    return starts.join(long.drop("log"), ["host_id", "start_pos"], "left").select(
         "host_id",
         "start_pos",
         F.coalesce("end_pos", "start_pos").alias("end_pos"),
