@@ -30,6 +30,7 @@ def pair_counts(items: DataFrame, min_count: int = 1, chunk: int = 64) -> DataFr
     `items` is distinct (txn, item), staged, as it is read for the item counts and for the baskets.
     """
     parts = shuffle_partitions(items.sparkSession)
+    items = items.select("txn", "item").where("txn is not null and item is not null")
     support = items.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
     kept = items.join(support.select("item"), "item", "left_semi")
     sizes = kept.groupBy("txn").agg(F.count("*").alias("size"))

@@ -18,6 +18,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import small
+
 #: Bins of a group's line of tokens.
 BINS = 4096
 
@@ -151,7 +153,7 @@ def mix(docs: DataFrame, targets: list[Target], seed: int = 17) -> tuple[DataFra
     below = lambda bound: F.greatest(F.lit(0), F.ceil((F.col(bound) - F.col("x")) / F.col("line")))
     chosen = (
         placed.withColumn("x", x)
-        .join(F.broadcast(plan), "members")  # at most groups x sources rows, made on the driver
+        .join(small(plan, len(stretches), 64 + 16 * len(wanted)), "members")
         .withColumn("copies", (below("b") - below("a")).cast("int"))
         .where("copies > 0")
         .select("id", "source", "copies", "tokens")

@@ -119,6 +119,7 @@ def frequent_subsequences(
     empty table gives no rows; hosts with too few rows count as hosts but support nothing.
     """
     spark = seq.sparkSession
+    seq = seq.select("host_id", "block", "pos", "log")
     parts = shuffle_partitions(spark)
     per_term = stage(seq.groupBy("log").agg(F.count("*").alias("total")), "terms")
     n_hosts = seq.select("host_id").distinct().count()

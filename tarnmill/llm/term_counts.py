@@ -101,6 +101,7 @@ def gram_counts(seq: DataFrame, max_n: int = 1, term_rows: DataFrame | None = No
     end of a host's sequence, so a host with fewer terms gives only shorter ones.
     """
     spark = seq.sparkSession
+    seq = seq.select("host_id", "block", "pos", "log")
     terms = [f"t{i}" for i in range(max_n)]
     if max_n > 1:
         nxt = with_following(seq, max_n - 1, ["log"])

@@ -99,6 +99,32 @@ def test_gram_counts(spark, monkeypatch, max_n):
     assert got == {g: (len(g), total[g], len(where[g])) for g in total}
 
 
+def clashing(seq):
+    for c in ("code", "nexts", "halo", "n", "salt", "salts", "after", "t0", "total", "to"):
+        seq = seq.withColumn(c, F.lit("clash"))
+    return seq
+
+
+def test_clashing_columns(spark):
+    seq = logs.staged_clean_rows(raw(spark, [list("abcabc"), list("aab")]), with_ts=True)
+    more = clashing(seq)
+    assert rows_of(term_counts.gram_counts(more, 2)) == rows_of(term_counts.gram_counts(seq, 2))
+    assert rows_of(subsequences.frequent_subsequences(more, 3, 2, 1, 0.1)) == rows_of(subsequences.frequent_subsequences(seq, 3, 2, 1, 0.1))
+    assert rows_of(runs.runs(more)) == rows_of(runs.runs(seq))
+    assert rows_of(distinctive.term_weights(more)) == rows_of(distinctive.term_weights(seq))
+    nulls = spark.createDataFrame([("h", None), (None, "x"), ("h", "x")], "host_id string, log string")
+    assert distinctive.term_weights(nulls).count() == 1
+    items = spark.createDataFrame([(1, "a", 0), (1, "b", 0), (2, None, 0)], "txn int, item string, chunks int")
+    assert cooccurrence.pair_counts(items).count() == 1
+
+
+def test_long_logs(spark):
+    long = "x" * 200_000
+    seq = logs.staged_clean_rows(raw(spark, [[long, long, "b"], [long]]))
+    got = {r["gram"][0][:1]: (r["total"], r["records"]) for r in term_counts.gram_counts(seq, 2).where("n = 1").collect()}
+    assert got == {"x": (3, 2), "b": (1, 1)}
+
+
 def test_counts_of_nothing(spark):
     seq = logs.staged_clean_rows(raw(spark, []))
     counts = term_counts.gram_counts(seq, 2)
