@@ -166,7 +166,7 @@ def oracle_sql() -> dict[str, str]:
             case when isnan(disk.main.size_gb) then null else disk.main.size_gb end as disk_main_size_gb, disk.encrypted as disk_encrypted from agent_states""",
         "flatten_dict": f"""select c_custkey as "who->c_custkey", c_name as "who->c_name", {seg} as "who->market->segment", c_acctbal as "acct->bal" from customer""",
         "flatten_array": "select n_regionkey, unnest([min(n_name), max(n_name), 'z']) as name from nation group by n_regionkey",
-        "edit_distance": "select a.n_name, b.n_name as other, levenshtein(a.n_name, b.n_name) as dist from nation a join nation b using (n_regionkey) where a.n_name < b.n_name",
+        "edit_distance": "select a.n_name, b.n_name as other, levenshtein(a.n_name, b.n_name)::int as dist from nation a join nation b using (n_regionkey) where a.n_name < b.n_name",
         "joined_keys": "select o_orderkey, o_orderstatus || '|' || o_custkey as key, 'ord_' || lpad(o_orderkey::varchar, 10, '0') as id from orders",
         "path_filter": """select event_id, 'cust' || (user_id % 7) || '/' || event_type || '-' || strftime(ts, '%Y%m%dT%H%M%S.%fZ') || '-x' as name from events
             where event_id % 11 <> 0 and user_id % 7 in (1, 4) and ts between timestamp '2024-01-05' and timestamp '2024-01-20 12:00:00'""",

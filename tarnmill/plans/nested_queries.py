@@ -117,7 +117,7 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": _TREE + "select guid, root as root_guid from t where depth >= 12 union all select guid, '' from p where guid not in (select guid from t)",
         "p5_hierarchy": _TREE + """select p.guid, coalesce(root, '') as root_guid, coalesce(depth, -1) as depth, path, coalesce(descendants, 0) as descendants, root is null as endless
             from p left join t using (guid) left join below on below.node = p.guid""",
-        "p5_descendants": _TREE + "select ids[i] as guid, guid as descendant, depth + 1 - i as distance from (select guid, ids, depth, unnest(range(1, depth + 1)) as i from t)",
+        "p5_descendants": _TREE + "select ids[i] as guid, guid as descendant, (depth + 1 - i)::int as distance from (select guid, ids, depth, unnest(range(1, depth + 1)) as i from t)",
         "p6_found": _NODES + "select distinct report_id, tree_id, node_id, parent_id from n",
         "p6_nodes": _NODES + "select report_id, tree_id, node_id, parent_id, min(name) as name, min(ts) as ts, min(proc_path) as proc_path from n group by all",
         "p6_reports": _BODY.rstrip(",\n ") + """ select report_id, value ->> 'host_id' as host_id, value ->> 'host_name' as host_name, value ->> 'op_sys' as op_sys, value ->> 'ip' as ip,
@@ -128,8 +128,8 @@ def oracle_sql() -> dict[str, str]:
         "p6_states": """select state_id, host.id as host_id, coalesce(host.os, host_os) as host_os, host.site.room as host_site_room, host.site.rack as host_site_rack,
             coalesce(disk.main.mount, disk_main_mount) as disk_main_mount, disk.main.label as disk_main_label,
             case when isnan(disk.main.size_gb) then null else disk.main.size_gb end as disk_main_size_gb, disk.encrypted as disk_encrypted from agent_states""",
-        "p6_nics": "select state_id, i - 1 as nic_ord, nics[i].nic as nic, nics[i].mtu as mtu from (select state_id, nics, unnest(range(1, len(nics) + 1)) as i from agent_states)",
-        "p6_addresses": """select state_id, nic_ord, j - 1 as addr_ord, a[j].ip as ip, array_to_string(a[j].scopes, ',') as scopes from
+        "p6_nics": "select state_id, (i - 1)::int as nic_ord, nics[i].nic as nic, nics[i].mtu as mtu from (select state_id, nics, unnest(range(1, len(nics) + 1)) as i from agent_states)",
+        "p6_addresses": """select state_id, nic_ord, (j - 1)::int as addr_ord, a[j].ip as ip, array_to_string(a[j].scopes, ',') as scopes from
             (select state_id, nic_ord, a, unnest(range(1, len(a) + 1)) as j from
-              (select state_id, i - 1 as nic_ord, nics[i].addrs as a from (select state_id, nics, unnest(range(1, len(nics) + 1)) as i from agent_states)))""",
+              (select state_id, (i - 1)::int as nic_ord, nics[i].addrs as a from (select state_id, nics, unnest(range(1, len(nics) + 1)) as i from agent_states)))""",
     }

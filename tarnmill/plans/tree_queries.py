@@ -210,7 +210,7 @@ def oracle_sql() -> dict[str, str]:
         "tree_signature_groups": _t(4) + _SIG + "select min(tree_id) as first, count(*) as n from sig group by signature",
         "tree_matches": _t(3) + _SIG + "select a.tree_id, b.tree_id as other from sig a join sig b using (signature) where a.tree_id::int % 10 = 0",
         "subtree": _t() + "select tree_id, node_id, depth - list_position(ids, '3') + 1 as depth, array_to_string(ids[list_position(ids, '3'):], '>') as ids from t where list_contains(ids, '3')",
-        "subtree_depth": _t() + "select tree_id, ids[i] as node_id, max(depth - i + 2) as height from (select tree_id, ids, depth, unnest(range(1, depth + 2)) as i from t) group by all",
+        "subtree_depth": _t() + "select tree_id, ids[i] as node_id, max(depth - i + 2)::int as height from (select tree_id, ids, depth, unnest(range(1, depth + 2)) as i from t) group by all",
         "has_subtree": _t() + """, o as (select depth as layer, name as n, case when depth > 0 then names[depth] end as p, count(*) as need from t where tree_id = '7' and depth < 2 group by all),
             s as (select tree_id, ids[i] as start_id, names[i] as start_name, depth - i + 1 as layer, name as n, case when depth >= i then names[depth] end as p from (select tree_id, ids, names, name, depth, unnest(range(1, depth + 2)) as i from t)),
             h as (select tree_id, start_id, layer, n, p, count(*) as have from s where start_name = (select n from o where layer = 0) group by all)

@@ -23,5 +23,5 @@ def test_stage_and_clear(spark):
 def test_spread_leaves_shuffles_alone(spark):
     one = spark.range(100, numPartitions=1)
     assert staging.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    grouped = spark.range(100, numPartitions=3).groupBy("id").count()
+    grouped = spark.range(100, numPartitions=3).groupBy((F.col("id") % 7).alias("k")).count()
     assert staging.spread(grouped) is grouped
