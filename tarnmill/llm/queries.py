@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,23 +32,21 @@ def p1_terms(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.mark_unused(grams, hosts, 3, 0.6).select(F.concat_ws("|", "gram").alias("gram"), "n", "total", "records", "too_rare", "too_common")
 
 
-def _pairs(spark: SparkSession, d: str, least: float) -> tuple[DataFrame, int]:
+def _pairs(spark: SparkSession, d: str, min_count: Callable[[int], int] = lambda n: 1) -> tuple[DataFrame, int]:
+    """min_count: the least n_ab, from the number of transactions; by default no pair is left out."""
     items = stage(cooccurrence.baskets(table(spark, d, "txn_items")), "baskets")
     n = items.select("txn").distinct().count()
-    import math
-    from fractions import Fraction
-
-    return cooccurrence.association(cooccurrence.pair_counts(items, max(5, math.ceil(Fraction(str(least)) * n))), n), n
+    return cooccurrence.association(cooccurrence.pair_counts(items, min_count(n)), n), n
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs, n = _pairs(spark, d, 0.005)
+    pairs, n = _pairs(spark, d, lambda n: max(5, math.ceil(Fraction("0.005") * n)))
     # lift >= 3 in whole numbers.
     return pairs.where(F.col("n_ab") * F.lit(n) >= 3 * F.col("n_a") * F.col("n_b")).select("item_a", "item_b")
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs, _ = _pairs(spark, d, 0.0)
+    pairs, _ = _pairs(spark, d)
     r = lambda c: F.round(c, 6).alias(c)
     return pairs.select("item_a", "item_b", "n_a", "n_b", "n_ab", r("lift"), r("pmi"), r("npmi"), r("jaccard"))
 

@@ -162,6 +162,21 @@ def test_pairs(spark, chunk):
     assert cooccurrence.pair_counts(items.limit(0), 1, chunk).count() == 0
 
 
+def test_p2_pairs_has_rare_pairs(spark, con, tmp_path):
+    """Every pair has its row, those of a single transaction too; only p2_found has a least count."""
+    data = [(t, x) for t, xs in enumerate(["ab", "abc", "abd", "ab", "ab", "cd", "e"]) for x in xs]
+    spark.createDataFrame(data, "txn bigint, item string").write.parquet(f"{tmp_path}/txn_items.parquet")
+    got = {(r["item_a"], r["item_b"]): r for r in queries.p2_pairs(spark, str(tmp_path)).collect()}
+    assert {p: r["n_ab"] for p, r in got.items()} == {("a", "b"): 5, ("a", "c"): 1, ("b", "c"): 1, ("a", "d"): 1, ("b", "d"): 1, ("c", "d"): 1}
+    cd = got["c", "d"]
+    assert (cd["n_a"], cd["n_b"], cd["lift"], cd["jaccard"]) == (2, 2, 1.75, 0.333333)
+    assert cd["pmi"] == pytest.approx(math.log2(1.75), abs=1e-6) and cd["npmi"] == pytest.approx(math.log2(1.75) / math.log2(7), abs=1e-6)
+    assert queries.p2_found(spark, str(tmp_path)).count() == 0
+    of = "item_a, item_b, n_a, n_b, n_ab"
+    want = con.execute(queries._ITEMS + f"select {of} from pairs").fetchall()
+    assert sorted(tuple(r) for r in queries.p2_pairs(spark, FOLDER).select(*of.split(", ")).collect()) == sorted(want)
+
+
 # --- 3: subsequences ----------------------------------------------------------------------------
 
 
