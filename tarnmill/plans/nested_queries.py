@@ -46,9 +46,8 @@ def p6_iterations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flatten_json(spark: SparkSession, d: str) -> DataFrame:
-    """Leaves of raw_reports.body, without those under keys that are data (trees and their runs)."""
-    flat = nested.flatten_json(table(spark, d, "raw_reports"), "report_id", "body")
-    return flat.where(~F.col("path").rlike("^(process_trees|tree_iterations)"))
+    """All leaves of raw_reports.body, those of its trees and their runs too."""
+    return nested.flatten_json(table(spark, d, "raw_reports"), "report_id", "body")
 
 
 def p6_objects(spark: SparkSession, d: str) -> DataFrame:
