@@ -12,17 +12,15 @@ from .base import SEQ, r6
 from .base import sequences as seq_of
 
 
-def _nodes(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
-    """Each user's events as a heap: the parent of event p is event p div 2. Trees for comparison
-    take the first events only, as whole ones are all different."""
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as a heap: the parent of event p is event p div 2."""
     seq = seq_of(spark, d)
-    seq = seq if most is None else seq.where(F.col("pos") <= most)
     parent = F.when(F.col("pos") > 1, F.floor(F.col("pos") / 2))
     return stage(trees.as_nodes(seq.withColumn("parent", parent), "host", "pos", "parent", "log", "ts"), "tree-nodes")
 
 
-def _paths(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
-    return trees.paths(_nodes(spark, d, most))
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    return trees.paths(_nodes(spark, d))
 
 
 def tree_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -61,13 +59,13 @@ def tree_validate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_signature_groups(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d, 4)
+    nodes = _nodes(spark, d)
     groups = trees.signatures(nodes, trees.paths(nodes)).groupBy("signature").agg(F.count("*").alias("n"), F.min("tree_id").alias("first"))
     return groups.select("first", "n")
 
 
 def tree_matches(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d, 3)
+    nodes = _nodes(spark, d)
     sig = stage(trees.signatures(nodes, trees.paths(nodes)), "signatures")
     return trees.matches(sig.where("cast(tree_id as int) % 10 = 0"), sig)
 
@@ -96,7 +94,7 @@ def child_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_layout(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d, 7)
+    nodes = _nodes(spark, d)
     return trees.layout(nodes, trees.paths(nodes)).select("tree_id", "node_id", r6("x"), r6("y"))
 
 
@@ -106,14 +104,14 @@ def tree_elapsed(spark: SparkSession, d: str) -> DataFrame:
 
 def node_edits(spark: SparkSession, d: str) -> DataFrame:
     """A node pushed above the root of user 1, one appended under it, and node 5 deleted."""
-    nodes = _nodes(spark, d, 7).drop("ts")
+    nodes = _nodes(spark, d).drop("ts")
     pushed = trees.push_node(nodes, "1", "top", "boot", ["1"])
     more = spark.createDataFrame([("1", "extra", "1", "late")], "tree_id string, node_id string, parent_id string, name string")
     return trees.delete_node(trees.append_nodes(pushed, more), "1", "5")
 
 
 def _host_trees(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d, 3)
+    nodes = _nodes(spark, d)
     sig = trees.signatures(nodes, trees.paths(nodes))
     host = F.concat(F.lit("h"), (F.col("tree_id").cast("int") % 20).cast("string"))
     return trees.dedupe_hosts(sig.join(trees.run_data(nodes), "tree_id").withColumn("host_id", host))
@@ -147,7 +145,7 @@ def tree_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def host_json(spark: SparkSession, d: str) -> DataFrame:
     """Hosts with their deduped trees and runs as JSON, read again as rows of runs."""
-    nodes = _nodes(spark, d, 3)
+    nodes = _nodes(spark, d)
     found = stage(trees.paths(nodes), "tree-paths")
     kept = stage(_host_trees(spark, d), "host-trees")
     docs = tree_json.trees_to_json(found).join(kept.select("host_id", "tree_id"), "tree_id")

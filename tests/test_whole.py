@@ -1,11 +1,21 @@
 """Queries over their whole input, where the SQL that stands beside them takes a part of it."""
 
 import json
+import re
 
+import pytest
 from conftest import FOLDER
 
-from compare import rows_of
-from tarnmill.plans import nested_queries
+from compare import difference, duck, rows_of
+from tarnmill.plans import nested_queries, tree_queries
+
+#: Several users to a host of the tree queries, so that some of their small trees are equal.
+FOLDER_01 = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def con_01():
+    return duck(FOLDER_01)
 
 
 def whole_body(text):
@@ -49,3 +59,25 @@ def test_flatten_json_gives_all_leaves(spark, tmp_path):
     want = [(r["report_id"], *x) for r in reports if isinstance(v := whole_body(r["body"]), dict) for x in leaves_of(v)]
     assert sum(p.startswith("process_trees") for _, p, _ in want) > 100
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in nested_queries.flatten_json(spark, FOLDER).collect())
+
+
+TREES = "tree_signature_groups tree_matches tree_layout node_edits host_dedupe master_build containing_hosts find_in_master host_json master_json".split()
+
+
+@pytest.mark.parametrize("name", TREES)
+def test_whole_trees(spark, con_01, name):
+    """Against the query's SQL over all events of each user."""
+    df = tree_queries.queries()[name](spark, FOLDER_01)
+    sql, cuts = re.subn(r"where pos <= \d+", "", tree_queries.oracle_sql()[name])
+    assert cuts == 1
+    assert difference(rows_of(df), df.columns, con_01, sql) == ""
+
+
+@pytest.mark.parametrize("name", TREES)
+def test_small_trees(spark, con, monkeypatch, name):
+    """Trees of a few nodes, of which some are equal, as whole ones of events are not."""
+    sql = tree_queries.oracle_sql()[name]
+    most, whole = int(re.search(r"where pos <= (\d+)", sql)[1]), tree_queries.seq_of
+    monkeypatch.setattr(tree_queries, "seq_of", lambda *at: whole(*at).where(f"pos <= {most}"))
+    df = tree_queries.queries()[name](spark, FOLDER)
+    assert difference(rows_of(df), df.columns, con, sql) == ""
