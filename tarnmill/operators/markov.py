@@ -82,7 +82,9 @@ def start_probabilities(seq: DataFrame, order: int = 2) -> DataFrame:
 
 
 def order_sequence_probability(seq: DataFrame, probs: DataFrame, starts: DataFrame, order: int = 2) -> DataFrame:
-    """(host, prob) of the sequences with at least `order` items: start times all steps, 0 if unseen."""
+    """(host, log_prob, prob) of the sequences with at least `order` items: start times all steps. A
+    start or step that the model lacks makes prob 0 and log_prob null. Sums of logarithms, so no
+    underflow there."""
     f = following(seq, order, ["log"])
     items = [F.col("log")] + [F.col(f"next{j}.log") for j in range(1, order)]
     whole = f if order == 1 else f.where(F.col(f"next{order - 1}").isNotNull())
@@ -91,7 +93,8 @@ def order_sequence_probability(seq: DataFrame, probs: DataFrame, starts: DataFra
     rest = steps.join(probs.select("state", "next", "prob"), ["state", "next"], "left").select("host", "prob")
     both = first.unionByName(rest)
     unseen = F.count(F.when(F.coalesce("prob", F.lit(0.0)) <= 0, 1))
-    return both.groupBy("host").agg(F.when(unseen == 0, F.exp(F.sum(F.log("prob")))).otherwise(0.0).alias("prob"))
+    out = both.groupBy("host").agg(F.when(unseen == 0, F.sum(F.log("prob"))).alias("log_prob"))
+    return out.withColumn("prob", F.coalesce(F.exp("log_prob"), F.lit(0.0)))
 
 
 def transition_matrix(counts: DataFrame, max_states: int = 5000) -> tuple[list[str], np.ndarray]:

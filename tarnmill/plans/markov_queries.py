@@ -72,8 +72,7 @@ def start_probs(spark: SparkSession, d: str) -> DataFrame:
 def order2_sequence_probability(spark: SparkSession, d: str) -> DataFrame:
     seq = seq_of(spark, d)
     probs = markov.probabilities(markov.order_counts(seq, 2))
-    short = seq.where("pos <= 5")
-    return markov.order_sequence_probability(short, probs, markov.start_probabilities(seq, 2), 2).select("host", r6("prob"))
+    return markov.order_sequence_probability(seq, probs, markov.start_probabilities(seq, 2), 2).select("host", r6("log_prob"))
 
 
 def order2_generate(spark: SparkSession, d: str) -> DataFrame:

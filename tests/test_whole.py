@@ -1,13 +1,15 @@
 """Queries over their whole input, where the SQL that stands beside them takes a part of it."""
 
 import json
+import math
 import re
+from collections import Counter
 
 import pytest
 from conftest import FOLDER
 
 from compare import difference, duck, rows_of
-from tarnmill.plans import nested_queries, tree_queries
+from tarnmill.plans import markov_queries, nested_queries, tree_queries
 
 #: Several users to a host of the tree queries, so that some of their small trees are equal.
 FOLDER_01 = "/root/testdata/sf0.01"
@@ -81,3 +83,17 @@ def test_small_trees(spark, con, monkeypatch, name):
     monkeypatch.setattr(tree_queries, "seq_of", lambda *at: whole(*at).where(f"pos <= {most}"))
     df = tree_queries.queries()[name](spark, FOLDER)
     assert difference(rows_of(df), df.columns, con, sql) == ""
+
+
+def test_order2_scores_whole_sequences(spark, con_01):
+    """Against brute force: the end is that of the user's sequence, and long sequences don't round to 0."""
+    seqs = {}
+    for user, log in con_01.execute("select user_id, event_type from events order by user_id, ts, event_id").fetchall():
+        seqs.setdefault(user, []).append(log)
+    assert min(map(len, seqs.values())) > 5
+    steps = {u: [((a, b), c) for a, b, c in zip(xs, xs[1:], [*xs[2:], "<EOS>"])] for u, xs in seqs.items()}
+    step, state = Counter(s for x in steps.values() for s in x), Counter(s[0] for x in steps.values() for s in x)
+    start = Counter((xs[0], xs[1]) for xs in seqs.values())
+    want = {u: math.log(start[x[0][0]] / len(seqs)) + math.fsum(math.log(step[s] / state[s[0]]) for s in x) for u, x in steps.items()}
+    got = {r["host"]: r["log_prob"] for r in markov_queries.order2_sequence_probability(spark, FOLDER_01).collect()}
+    assert got == pytest.approx(want, abs=2e-6) and max(want.values()) < -20
