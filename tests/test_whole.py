@@ -9,7 +9,7 @@ import pytest
 from conftest import FOLDER
 
 from compare import difference, duck, rows_of
-from tarnmill.plans import markov_queries, nested_queries, tree_queries
+from tarnmill.plans import feature_queries, markov_queries, nested_queries, tree_queries
 
 #: Several users to a host of the tree queries, so that some of their small trees are equal.
 FOLDER_01 = "/root/testdata/sf0.01"
@@ -97,3 +97,10 @@ def test_order2_scores_whole_sequences(spark, con_01):
     want = {u: math.log(start[x[0][0]] / len(seqs)) + math.fsum(math.log(step[s] / state[s[0]]) for s in x) for u, x in steps.items()}
     got = {r["host"]: r["log_prob"] for r in markov_queries.order2_sequence_probability(spark, FOLDER_01).collect()}
     assert got == pytest.approx(want, abs=2e-6) and max(want.values()) < -20
+
+
+def test_sliding_window_over_whole_sequences(spark, con_01):
+    df = feature_queries.sliding_window(spark, FOLDER_01)
+    sql = feature_queries.oracle_sql()["sliding_window"]
+    assert sql.count("where pos <= 9 ") == 1
+    assert difference(rows_of(df), df.columns, con_01, sql.replace("where pos <= 9 ", "")) == ""
