@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from json.decoder import scanstring
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -280,6 +280,57 @@ def report_trees(reports: DataFrame, key: str = "report_id", body: str = "body")
     )
 
 
+def _scalar_at(name: str, of: str = "content") -> Column:
+    return F.get_json_object(of, f"$.{name}")
+
+
+def _items(content: str) -> Column:
+    """Hashes of the items of a list of objects; null for an item that is null."""
+    return F.transform(F.from_json(content, "array<struct<`#`:string>>"), lambda x: x["#"])
+
+
+def state_rows(objects: DataFrame, bridge: DataFrame, key: str = "state_id") -> DataFrame:
+    """One row for each agent state, from the tables of `merkle_tables` over agent_states."""
+    places = {"root": "", "host": "/host", "site": "/host/site", "disk": "/disk", "main": "/disk/main"}
+    parts = bridge.where(F.col("pointer").isin(*places.values())).join(objects, "hash")
+    of = parts.groupBy(key).agg(*[F.max(F.when(F.col("pointer") == p, F.col("content"))).alias(n) for n, p in places.items()])
+    return of.select(
+        key, _scalar_at("id", "host").alias("host_id"), F.coalesce(_scalar_at("os", "host"), _scalar_at("host_os", "root")).alias("host_os"), _scalar_at("room", "site").alias("host_site_room"),
+        _scalar_at("rack", "site").cast("int").alias("host_site_rack"), F.coalesce(_scalar_at("mount", "main"), _scalar_at("disk_main_mount", "root")).alias("disk_main_mount"),
+        _scalar_at("label", "main").alias("disk_main_label"), F.nanvl(_scalar_at("size_gb", "main").cast("double"), F.lit(None).cast("double")).alias("disk_main_size_gb"),
+        _scalar_at("encrypted", "disk").cast("boolean").alias("disk_encrypted"),
+    )
+
+
+def state_nics(objects: DataFrame, bridge: DataFrame, key: str = "state_id") -> DataFrame:
+    """(key, nic_ord, nic, mtu): each item of nics, one that is null too."""
+    lists = bridge.where("pointer = '/nics'").join(objects, "hash")
+    return lists.select(key, F.posexplode(_items("content")).alias("nic_ord", "hash")).join(objects, "hash", "left").select(
+        key, "nic_ord", _scalar_at("nic").alias("nic"), _scalar_at("mtu").cast("int").alias("mtu")
+    )
+
+
+def state_addresses(objects: DataFrame, bridge: DataFrame, key: str = "state_id") -> DataFrame:
+    """(key, nic_ord, addr_ord, ip, scopes): each item of each nic's addrs, one that is null too."""
+    lists = bridge.where(F.col("pointer").rlike("^/nics/[0-9]+/addrs$")).join(objects, "hash")
+    nic = F.split("pointer", "/")[2].cast("int").alias("nic_ord")
+    items = lists.select(key, nic, F.posexplode(_items("content")).alias("addr_ord", "hash")).join(objects, "hash", "left")
+    items = items.select(key, "nic_ord", "addr_ord", _scalar_at("ip").alias("ip"), F.get_json_object("content", "$.scopes.#").alias("hash"))
+    return items.join(objects, "hash", "left").select(key, "nic_ord", "addr_ord", "ip", F.array_join(F.from_json("content", "array<string>"), ",").alias("scopes"))
+
+
+def state_tags(objects: DataFrame, bridge: DataFrame, key: str = "state_id") -> DataFrame:
+    """(key, tag_ord, tag): each item of host.site.tags, one that is null too."""
+    lists = bridge.where("pointer = '/host/site/tags'").join(objects, "hash")
+    return lists.select(key, F.posexplode(F.from_json("content", "array<string>")).alias("tag_ord", "tag"))
+
+
+def state_marks(objects: DataFrame, bridge: DataFrame, key: str = "state_id") -> DataFrame:
+    """(key, mark, value): each entry of the map marks."""
+    maps = bridge.where("pointer = '/marks'").join(objects, "hash")
+    return maps.select(key, F.explode(F.from_json("content", "map<string,string>")).alias("mark", "value"))
+
+
 def flatten_json(df: DataFrame, key: str, body: str, sep: str = "->") -> DataFrame:
     """(key, path, value): each leaf of a JSON object under its keys joined by `sep`. A list is a leaf,
     given as JSON, and so is any scalar, given as text (null stays null); empty objects vanish.

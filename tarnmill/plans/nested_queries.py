@@ -50,36 +50,39 @@ def flatten_json(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten_json(table(spark, d, "raw_reports"), "report_id", "body")
 
 
-def p6_objects(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct subtrees of agent_states, with the number of their occurrences."""
+def _state_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     states = table(spark, d, "agent_states")
     body = F.to_json(F.struct(*[c for c in states.columns if c != "state_id"]))
-    return nested.merkle_tables(states.select("state_id", body.alias("body")), "state_id", "body")[0]
+    return nested.merkle_tables(states.select("state_id", body.alias("body")), "state_id", "body")
+
+
+def p6_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct subtrees of agent_states, with the number of their occurrences."""
+    return _state_tables(spark, d)[0]
 
 
 def p6_states(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "agent_states").select(
-        "state_id", F.col("host.id").alias("host_id"), F.coalesce("host.os", "host_os").alias("host_os"), F.col("host.site.room").alias("host_site_room"),
-        F.col("host.site.rack").alias("host_site_rack"), F.coalesce("disk.main.mount", "disk_main_mount").alias("disk_main_mount"),
-        F.col("disk.main.label").alias("disk_main_label"), F.nanvl("disk.main.size_gb", F.lit(None).cast("double")).alias("disk_main_size_gb"), F.col("disk.encrypted").alias("disk_encrypted"),
-    )
+    return nested.state_rows(*_state_tables(spark, d))
 
 
 def p6_nics(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "agent_states").select("state_id", F.posexplode("nics").alias("nic_ord", "n")).select(
-        "state_id", "nic_ord", F.col("n.nic").alias("nic"), F.col("n.mtu").alias("mtu")
-    )
+    return nested.state_nics(*_state_tables(spark, d))
 
 
 def p6_addresses(spark: SparkSession, d: str) -> DataFrame:
-    nics = table(spark, d, "agent_states").select("state_id", F.posexplode("nics").alias("nic_ord", "n"))
-    return nics.select("state_id", "nic_ord", F.posexplode("n.addrs").alias("addr_ord", "a")).select(
-        "state_id", "nic_ord", "addr_ord", F.col("a.ip").alias("ip"), F.array_join("a.scopes", ",").alias("scopes")
-    )
+    return nested.state_addresses(*_state_tables(spark, d))
+
+
+def p6_tags(spark: SparkSession, d: str) -> DataFrame:
+    return nested.state_tags(*_state_tables(spark, d))
+
+
+def p6_marks(spark: SparkSession, d: str) -> DataFrame:
+    return nested.state_marks(*_state_tables(spark, d))
 
 
 def queries() -> dict:
-    names = "flatten_json p5_found p5_hierarchy p5_descendants p6_found p6_nodes p6_trees p6_reports p6_iterations p6_objects p6_states p6_nics p6_addresses".split()
+    names = "flatten_json p5_found p5_hierarchy p5_descendants p6_found p6_nodes p6_trees p6_reports p6_iterations p6_objects p6_states p6_nics p6_addresses p6_tags p6_marks".split()
     return {n: globals()[n] for n in names}
 
 

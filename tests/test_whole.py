@@ -104,3 +104,28 @@ def test_sliding_window_over_whole_sequences(spark, con_01):
     sql = feature_queries.oracle_sql()["sliding_window"]
     assert sql.count("where pos <= 9 ") == 1
     assert difference(rows_of(df), df.columns, con_01, sql.replace("where pos <= 9 ", "")) == ""
+
+
+STATES = "state_id bigint, host struct<id:string,os:string,site:struct<room:string,rack:int,tags:array<string>>>, host_os string, nics array<struct<nic:string,mtu:int,addrs:array<struct<ip:string,scopes:array<string>>>>>, disk struct<main:struct<mount:string,label:string,size_gb:double>,encrypted:boolean>, disk_main_mount string, marks map<string,string>, legacy_note string"
+
+
+def test_states_keep_every_nested_value(spark, tmp_path):
+    nics = [("e0", 1500, [("::1", ["a", None, "b"]), None, ("x", []), ("y", None)]), None, (None, None, None), ("e1", 9, [])]
+    data = [
+        (1, ("h", None, ("r", 3, ["t", None, "t"])), "os", nics, (("/", "é\"/", float("nan")), True), None, {"k": "v", "n": None, "a/~b": "1.50"}, None),
+        (2, None, None, [], ((None, None, 1e-7), False), "/m", {}, None),
+        (3, (None, None, None), None, None, None, None, None, None),
+    ]
+    spark.createDataFrame(data, STATES).write.parquet(f"{tmp_path}/agent_states.parquet")
+    got = {n: sorted((tuple(r) for r in nested_queries.queries()[n](spark, str(tmp_path)).collect()), key=str) for n in "p6_states p6_nics p6_addresses p6_tags p6_marks".split()}
+    assert got["p6_states"] == [(1, "h", "os", "r", 3, "/", "é\"/", None, True), (2, None, None, None, None, "/m", None, 1e-7, False), (3, *[None] * 8)]
+    assert got["p6_nics"] == [(1, 0, "e0", 1500), (1, 1, None, None), (1, 2, None, None), (1, 3, "e1", 9)]
+    assert got["p6_addresses"] == [(1, 0, 0, "::1", "a,b"), (1, 0, 1, None, None), (1, 0, 2, "x", ""), (1, 0, 3, "y", None)]
+    assert got["p6_tags"] == [(1, 0, "t"), (1, 1, None), (1, 2, "t")]
+    assert got["p6_marks"] == [(1, "a/~b", "1.50"), (1, "k", "v"), (1, "n", None)]
+    states = spark.read.parquet(f"{FOLDER_01}/agent_states.parquet").collect()
+    tags = sorted((r["state_id"], i, t) for r in states if r["host"] and r["host"]["site"] for i, t in enumerate(r["host"]["site"]["tags"] or []))
+    marks = sorted(((r["state_id"], k, v) for r in states for k, v in (r["marks"] or {}).items()), key=str)
+    assert len(tags) > 50 and len(marks) > 50
+    assert sorted(tuple(r) for r in nested_queries.p6_tags(spark, FOLDER_01).collect()) == tags
+    assert sorted((tuple(r) for r in nested_queries.p6_marks(spark, FOLDER_01).collect()), key=str) == marks
