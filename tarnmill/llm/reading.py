@@ -1,8 +1,8 @@
 """Reading level of each document: ordinal regression over text features, fitted to graded text.
 
 Features are computed in one pass of built-in functions over whole texts. Word rarity comes from
-exact counts of all words of all documents, kept in a fixed number of hashed cells, so the table
-that is sent to all executors has a proven size. Features are standardised within each language over
+exact counts of all words of all documents; their table is sent to all executors only if its counted
+size allows that, and joined by a shuffle otherwise. Features are standardised within each language over
 all its documents. The regression (proportional odds, ridge penalty) is fitted on at most `max_labels`
 label rows, the lowest by hash; at that bound the fit no longer changes noticeably.
 """
@@ -15,10 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import spread, stage
+from ..staging import small, spread, stage
 
-#: Cells of the word counts.
-CELLS = 1 << 16
 FEATURES = ("sentence", "word", "long", "connective", "clause", "diversity", "rarity", "size")
 #: Words that join or subordinate clauses (fixed values, plain everyday words of the three languages).
 CONNECTIVES = (
@@ -37,22 +35,18 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
 
 
-def _cell(lang: Column, word: Column) -> Column:
-    return F.pmod(F.xxhash64(lang, word), F.lit(CELLS)).cast("int")
-
-
-def word_cells(docs: DataFrame) -> DataFrame:
-    """(cell, rarity): minus the log of the share that the words of a cell have of all words of
-    (lang, text); at most CELLS rows."""
+def word_rarities(docs: DataFrame) -> DataFrame:
+    """(lang, w, rarity): minus the log of the share that the word has of all words of (lang, text).
+    Marked for broadcast only if its counted size allows that."""
     # An inner explode would make Spark find all words twice, once for a filter on empty lists.
     words = _words(docs).select("lang", F.explode_outer("words").alias("w")).where("w is not null")
-    counts = words.groupBy(_cell(F.col("lang"), F.col("w")).alias("cell")).agg(F.count("*").alias("n"))
-    counts = stage(counts, "word-cells")
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    return counts.select("cell", (F.log(F.lit(float(total))) - F.log(F.col("n").cast("double"))).alias("rarity"))
+    counts = stage(words.groupBy("lang", "w").agg(F.count("*").alias("n")), "word-counts")
+    total, rows, size = counts.agg(F.sum("n"), F.count("*"), F.sum(F.octet_length("w"))).first()
+    rarities = counts.select("lang", "w", (F.log(F.lit(float(total or 1))) - F.log(F.col("n").cast("double"))).alias("rarity"))
+    return small(rarities, rows, 64 + (size or 0) // max(rows, 1))
 
 
-def text_features(docs: DataFrame, cells: DataFrame) -> DataFrame:
+def text_features(docs: DataFrame, rarities: DataFrame) -> DataFrame:
     """(row, doc_id, lang, *FEATURES) of (doc_id, lang, text) with non-blank text; one row for each
     row of docs. A text without words has zeros."""
     sentences = F.greatest(F.regexp_count("text", F.lit(r"[.!?。！？](?=\s|$)")), F.lit(1))
@@ -62,7 +56,7 @@ def text_features(docs: DataFrame, cells: DataFrame) -> DataFrame:
         .withColumn("different", F.size(F.array_distinct("words")))
         .select("row", "doc_id", "lang", "sentences", "commas", "different", F.explode_outer("words").alias("w"))
     )
-    joined = rows.withColumn("cell", _cell(F.col("lang"), F.col("w"))).join(F.broadcast(cells), "cell", "left")
+    joined = rows.join(rarities, ["lang", "w"], "left")
     n = F.greatest(F.col("n"), F.lit(1)).cast("double")
     sums = joined.groupBy("row", "doc_id", "lang", "sentences", "commas", "different").agg(
         F.count("w").alias("n"),
@@ -167,7 +161,7 @@ def reading_levels(
     """
     wanted = docs.select("doc_id", plain_lang(F.col("lang")).alias("lang"), "text").where(F.col("lang").isin(*langs) & F.col("text").rlike(r"[^\s\p{Z}]"))
     wanted = spread(wanted)
-    feats = stage(text_features(wanted, word_cells(wanted)), "reading-features")
+    feats = stage(text_features(wanted, word_rarities(wanted)), "reading-features")
     stats = {r["lang"]: r for r in feats.groupBy("lang").agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES]).collect()}
 
     def z(c: str) -> Column:

@@ -391,3 +391,18 @@ def test_reading_edges(spark):
     assert got == [("4", "en"), ("6", "fr"), ("6", "fr"), ("None", "de")]
     assert {r["grade"] for r in reading.reading_levels(docs, labels.limit(0)).collect()} == {None}
     assert reading.reading_levels(docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_rarity_counts_words_exactly(spark, monkeypatch, broadcast):
+    """A rare word is rare, though its hash shares the lowest 16 bits with that of a frequent word."""
+    if not broadcast:
+        monkeypatch.setattr("tarnmill.staging.BROADCAST_BYTES", 0)
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    cell = F.pmod(F.xxhash64(F.lit("en"), letters), F.lit(1 << 16))
+    often, rare = spark.range(2000).groupBy(cell).agg(F.array_sort(F.collect_list(letters)).alias("w")).where("size(w) > 1").orderBy("w").first()["w"][:2]
+    docs = spark.createDataFrame([(1, "en", " ".join([often] * 50)), (2, "en", rare), (3, "de", often), (4, "en", "1")], "doc_id int, lang string, text string")
+    rarities = reading.word_rarities(docs)
+    assert sorted((r["lang"], r["w"]) for r in rarities.collect()) == sorted([("en", often), ("en", rare), ("de", often)])
+    got = {r["doc_id"]: r["rarity"] for r in reading.text_features(docs, rarities).collect()}
+    assert got == pytest.approx({1: math.log(52 / 50), 2: math.log(52), 3: math.log(52), 4: 0.0})
