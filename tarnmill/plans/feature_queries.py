@@ -64,10 +64,10 @@ def ihf_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectorizer_transform(spark: SparkSession, d: str) -> DataFrame:
-    """Fitted on every third user, applied to the others."""
+    """Fitted on all users, and applied to all."""
     seq = seq_of(spark, d)
-    fitted = features.LogVectorizer(features.CountSpec(ngram=3, min_hf=2), weighted=True).fit(seq.where("host % 3 = 0"))
-    return fitted.transform(seq.where("host % 3 <> 0")).select("host", "idx", "log", r6("value"))
+    fitted = features.LogVectorizer(features.CountSpec(ngram=3, min_hf=2), weighted=True).fit(seq)
+    return fitted.transform(seq).select("host", "idx", "log", r6("value"))
 
 
 def apriori_itemsets(spark: SparkSession, d: str) -> DataFrame:

@@ -39,12 +39,12 @@ def flatten_df_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def null_profile(spark: SparkSession, d: str) -> DataFrame:
-    return schema.null_profile(schema.flatten_df(table(spark, d, "agent_states"), "all").drop("nics", "marks", "host_site_tags"))
+    return schema.null_profile(schema.flatten_df(table(spark, d, "agent_states"), "all"))
 
 
 def drop_all_null(spark: SparkSession, d: str) -> DataFrame:
-    flat = schema.flatten_and_drop_null(table(spark, d, "agent_states").select("state_id", "host", "disk", "legacy_note"), "all")
-    return flat.drop("host_site_tags").withColumn("disk_main_size_gb", F.nanvl("disk_main_size_gb", F.lit(None).cast("double")))
+    flat = schema.flatten_and_drop_null(table(spark, d, "agent_states"), "all")
+    return flat.withColumn("disk_main_size_gb", F.nanvl("disk_main_size_gb", F.lit(None).cast("double")))
 
 
 def flatten_dict(spark: SparkSession, d: str) -> DataFrame:

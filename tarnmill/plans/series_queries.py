@@ -30,7 +30,7 @@ def week_slots_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_overlapping_weeks(spark: SparkSession, d: str) -> DataFrame:
-    return timeseries.split_overlapping_weeks(hourly(spark, d), "ts", "n", 12).select("label", *[f"week_{i}" for i in range(5)])
+    return timeseries.split_overlapping_weeks(hourly(spark, d), "ts", "n", 12).drop("slot")
 
 
 def extend_dates(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from conftest import FOLDER
 
 from compare import difference, duck, rows_of
-from tarnmill.plans import feature_queries, markov_queries, nested_queries, tree_queries
+from tarnmill.plans import feature_queries, markov_queries, misc_queries, nested_queries, series_queries, tree_queries
 
 #: Several users to a host of the tree queries, so that some of their small trees are equal.
 FOLDER_01 = "/root/testdata/sf0.01"
@@ -129,3 +129,29 @@ def test_states_keep_every_nested_value(spark, tmp_path):
     assert len(tags) > 50 and len(marks) > 50
     assert sorted(tuple(r) for r in nested_queries.p6_tags(spark, FOLDER_01).collect()) == tags
     assert sorted((tuple(r) for r in nested_queries.p6_marks(spark, FOLDER_01).collect()), key=str) == marks
+
+
+def test_vectorizer_takes_every_host(spark, con_01):
+    df = feature_queries.vectorizer_transform(spark, FOLDER_01)
+    sql = re.sub(r" where host % 3 (=|<>) 0", "", feature_queries.oracle_sql()["vectorizer_transform"])
+    assert "% 3" not in sql
+    assert difference(rows_of(df), df.columns, con_01, sql) == ""
+
+
+def test_every_week_has_its_column(spark, tmp_path):
+    spark.sql("select timestamp_ntz'2024-01-01 05:00:00' + make_dt_interval(7 * id) as ts from range(8)").write.parquet(f"{tmp_path}/events.parquet")
+    df = series_queries.split_overlapping_weeks(spark, str(tmp_path))
+    assert sorted(df.columns) == sorted(["label", *[f"week_{i}" for i in range(8)]])
+    got = {r["label"]: [r[f"week_{i}"] for i in range(8)] for r in df.collect()}
+    assert got == {"monday-05:00": [1] * 8, "+monday-05:00": [1] * 7 + [None]}
+
+
+def test_profiles_take_every_column(spark):
+    states = spark.read.parquet(f"{FOLDER_01}/agent_states.parquet").collect()
+    profile = misc_queries.null_profile(spark, FOLDER_01).first().asDict()
+    assert profile["nics"] == sum(r["nics"] is None for r in states) and profile["marks"] == sum(r["marks"] is None for r in states)
+    assert profile["host_site_tags"] == sum(not (r["host"] and r["host"]["site"] and r["host"]["site"]["tags"] is not None) for r in states)
+    kept = misc_queries.drop_all_null(spark, FOLDER_01)
+    assert set(kept.columns) == set(profile) - {"legacy_note"} and {"nics", "marks", "host_site_tags", "host_os", "disk_main_mount"} <= set(kept.columns)
+    want = {r["state_id"]: (r["nics"], r["marks"]) for r in states}
+    assert {r["state_id"]: (r["nics"], r["marks"]) for r in kept.collect()} == want
