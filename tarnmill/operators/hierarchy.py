@@ -9,14 +9,20 @@ round a cycle would double for ever.
 
 Paths are made the same way for the nodes that do reach a root: a jump's path segment is joined to
 its target's segment, and as depths are known, so is the number of rounds.
+
+A round writes only the nodes that took part in it; those finished before stay where they were
+written. A parent with very many children is a hot key, which `skew_join` spreads.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import drop_staged, stage
+from ..staging import stage
+from .skew import skew_join
 
 
 def plain_guid(guid: Column) -> Column:
@@ -27,29 +33,46 @@ def plain_guid(guid: Column) -> Column:
 def clean_processes(rows: DataFrame, *extra: str) -> DataFrame:
     """(guid, parent_guid, proc_name, *extra) with plain guids; of rows with equal plain guid the one
     with the lowest rec_id. Rows without guid are left out; a null rec_id counts as lowest."""
-    cols = ["rec_id", "parent_guid", "proc_name", *extra]
+    cols = ["rec_id", "parent_guid", "proc_name", *[c for c in extra if c != "rec_id"]]
     one = rows.where(F.col("guid").isNotNull()).groupBy(plain_guid(F.col("guid")).alias("guid")).agg(F.min(F.struct(*cols)).alias("r"))
     return one.select("guid", plain_guid(F.col("r.parent_guid")).alias("parent_guid"), F.col("r.proc_name").alias("proc_name"), *[F.col(f"r.{c}").alias(c) for c in extra])
 
 
+class _Rounds:
+    """Staged tables of the rounds so far. Each node is in the latest table that has it: finished
+    (to is null) where it finished, unfinished in the last one."""
+
+    def __init__(self, first: DataFrame):
+        self.tables = [first]
+
+    def every(self) -> DataFrame:
+        done = [t.where("to is null") for t in self.tables]
+        return reduce(DataFrame.unionByName, done, self.left())
+
+    def left(self) -> DataFrame:
+        return self.tables[-1].where("to is not null")
+
+    def add(self, table: DataFrame) -> None:
+        self.tables.append(table)
+
+
 def _double(links: DataFrame) -> DataFrame:
-    """(node, to, root, depth), staged, of (node, up): to is null once the root is reached, and
-    stays set for nodes that never reach one."""
+    """(node, to, root, depth) of (node, up), staged: to is null once the root is reached, and stays
+    set for nodes that never reach one."""
     known = links.select(F.col("node").alias("up"), F.lit(True).alias("known"))
-    start = links.join(known, "up", "left").select("node", F.when(F.col("known"), F.col("up")).alias("to"))
+    start = skew_join(links, known, ["up"], "left").select("node", F.when(F.col("known"), F.col("up")).alias("to"))
     is_root = F.col("to").isNull()
-    cur = stage(start.select("node", "to", F.when(is_root, F.col("node")).alias("root"), F.when(is_root, 0).otherwise(1).alias("depth")), "tree-pointers")
-    left = cur.where("to is not null").count()
+    rounds = _Rounds(stage(start.select("node", "to", F.when(is_root, F.col("node")).alias("root"), F.when(is_root, 0).otherwise(1).alias("depth")), "tree-pointers"))
+    left = rounds.left().count()
     while left:
-        target = cur.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
-        jumped = cur.where("to is not null").join(target, "to").select("node", F.col("to2").alias("to"), F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"))
-        nxt = stage(jumped.unionByName(cur.where("to is null")), "tree-pointers")
-        drop_staged(cur)
-        cur, still = nxt, nxt.where("to is not null").count()
+        target = rounds.every().select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
+        jumped = skew_join(rounds.left(), target, ["to"], "inner", left)
+        rounds.add(stage(jumped.select("node", F.col("to2").alias("to"), F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth")), "tree-pointers"))
+        still = rounds.left().count()
         if still == left:
             break
         left = still
-    return cur
+    return rounds.every()
 
 
 def _links(nodes: DataFrame, key: str, parent: str, name: str | None) -> DataFrame:
@@ -80,19 +103,35 @@ def ancestors(nodes: DataFrame, key: str = "guid", parent: str = "parent_guid",
     found = _roots(_double(links))
     deepest = found.agg(F.max("depth")).first()[0] or 0
     to = F.when(F.col("depth") > 0, F.col("up"))
-    cur = stage(links.join(found.where("depth >= 0"), "node").select("node", "depth", to.alias("to"), F.array("node").alias("ids"), F.array("name").alias("names")), "tree-paths")
-    for r in range(deepest.bit_length()):
+    rounds = _Rounds(stage(links.join(found.where("depth >= 0"), "node").select("node", "depth", to.alias("to"), F.array("node").alias("ids"), F.array("name").alias("names")), "tree-paths"))
+    for _ in range(deepest.bit_length()):
         # Before round r a segment covers min(depth + 1, 2^r) nodes; those that cover all are done.
-        target = cur.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("ids").alias("ids2"), F.col("names").alias("names2"))
-        joined = cur.where("to is not null").join(target, "to").select("node", "depth", F.col("to2").alias("to"), F.concat("ids2", "ids").alias("ids"), F.concat("names2", "names").alias("names"))
-        nxt = stage(joined.unionByName(cur.where("to is null")), "tree-paths")
-        drop_staged(cur)
-        cur = nxt
-    ended = cur.select("node", F.element_at("ids", 1).alias("root"), "depth", "ids", "names")
+        target = rounds.every().select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("ids").alias("ids2"), F.col("names").alias("names2"))
+        joined = skew_join(rounds.left(), target, ["to"])
+        rounds.add(stage(joined.select("node", "depth", F.col("to2").alias("to"), F.concat("ids2", "ids").alias("ids"), F.concat("names2", "names").alias("names")), "tree-paths"))
+    ended = rounds.every().select("node", F.element_at("ids", 1).alias("root"), "depth", "ids", "names")
     nothing = F.lit(None).cast("array<string>")
     return ended.unionByName(found.where("depth < 0").select("node", "root", "depth", nothing.alias("ids"), nothing.alias("names")))
 
 
+def deepest_below(nodes: DataFrame, found: DataFrame, key: str = "guid", parent: str = "parent_guid") -> DataFrame:
+    """(node, depth, below): the greatest depth at and under each node that reaches a root.
+
+    `found` is (node, depth) of `roots` or `ancestors`, staged. In round r each node hands the
+    greatest depth within 2^r steps under it to its ancestor 2^r steps up, so log2(depth) rounds of
+    narrow rows do, without paths. What many children hand up is merged before the shuffle.
+    """
+    reach = found.where("depth >= 0").select("node", "depth")
+    up = nodes.select(F.col(key).cast("string").alias("node"), F.col(parent).cast("string").alias("up"))
+    to = F.when(F.col("depth") > 0, F.col("up")).alias("to")
+    cur = stage(reach.join(up, "node").select("node", "depth", to, F.col("depth").alias("below")), "tree-below")
+    for _ in range((cur.agg(F.max("depth")).first()[0] or 0).bit_length()):
+        handed = cur.where("to is not null").groupBy(F.col("to").alias("node")).agg(F.max("below").alias("more"))
+        nxt = skew_join(cur, cur.select(F.col("node").alias("to"), F.col("to").alias("to2")), ["to"], "left")
+        cur = stage(nxt.join(handed, "node", "left").select("node", "depth", F.col("to2").alias("to"), F.greatest("below", "more").alias("below")), "tree-below")
+    return cur.select("node", "depth", "below")
+
+
 def hierarchy(found: DataFrame, sep: str = "/") -> DataFrame:
     """(node, root, depth, path, descendants, endless) of `ancestors`: the names from the root joined
     by `sep` ('' for a null name) and the number of all nodes below."""

@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..staging import stage
+from ..staging import shuffle_partitions, spread, stage
+from .skew import skew_join
 
 _SPACE = re.compile(r"[ \t\n\r]*")
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:(\.\d+)?([eE][-+]?\d+)?)", re.ASCII)
+_MINUS_ZERO = tuple(f"{c}-0" for c in ":,[ \n\t\r")
 _WORDS = {"true": True, "false": False, "null": None}
 
 
@@ -34,15 +36,29 @@ def _no_constant(word: str):
     raise ValueError(f"{word} is no JSON")
 
 
+_DECODER = json.JSONDecoder(parse_float=Number, parse_constant=_no_constant)
+_EXACT = json.JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=_no_constant)
+
+
 def parse_json(text: str):
     """JSON of any depth. Raises ValueError if it is not valid (NaN is not). Of repeated keys of an
     object the last counts. Numbers keep their spelling."""
     try:
-        return json.loads(text, parse_int=Number, parse_float=Number, parse_constant=_no_constant)
+        return _EXACT.decode(text)
     except RecursionError:
         return _parse_deep(text)
 
 
+def _load(text: str):
+    """As `parse_json`, faster: a whole number is an int where that is written like the number."""
+    if not any(map(text.__contains__, _MINUS_ZERO)):
+        try:
+            return _DECODER.decode(text)
+        except (ValueError, RecursionError):  # not valid, too deep, or more digits than an int is read from
+            pass
+    return parse_json(text)
+
+
 def _parse_deep(text: str):
     """As `parse_json`, without recursion."""
     stack: list = []
@@ -119,9 +135,9 @@ def _parse_deep(text: str):
 def parse_body(text: str | None):
     """The JSON value of a body; a string that holds JSON counts as that JSON. None if invalid."""
     try:
-        v = parse_json(text) if text is not None else None
+        v = _load(text) if text is not None else None
         while isinstance(v, str) and not isinstance(v, Number):
-            v = parse_json(v)
+            v = _load(v)
         return v
     except ValueError:
         return None
@@ -134,136 +150,220 @@ def _utf8(s: str | None) -> str | None:
     return s.encode("utf-8", "replace").decode("utf-8")
 
 
+_quote = json.encoder.encode_basestring
+
+
 def _scalar(v) -> str:
-    return str(v) if isinstance(v, Number) else json.dumps(v, ensure_ascii=False)
+    if isinstance(v, Number):
+        return str(v)
+    return _quote(v) if isinstance(v, str) else "null" if v is None else "true" if v is True else "false" if v is False else str(v)
+
+
+class _Rows:
+    """Columns of the rows of `merkle_rows`, filled body by body.
+
+    The content and the fields of a subtree are given once for each batch; later occurrences of it
+    have its hash only.
+    """
+
+    def __init__(self, anchor: str | None, fields: tuple[str, ...]):
+        self.anchor, self.fields = anchor, fields
+        self.quoted: dict[str, str] = {}
+        self.start()
+
+    def start(self) -> None:
+        self.seen: set[str] = set()
+        self.columns: list[list] = [[] for _ in range(10 + len(self.fields))]
+        if len(self.quoted) > 100_000:
+            self.quoted.clear()
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def add(self, key, root) -> None:
+        if not isinstance(root, (dict, list)):
+            return
+        anchor, quoted, seen = self.anchor, self.quoted, self.seen
+        keys, occs, parents, owners, kinds, pointers, names, ordinals, hashes, contents, *fields = self.columns
+        base, order = len(keys), []
+        stack: list = [(root, None, None, "", None, 0)]
+        while stack:
+            v, parent, owner, pointer, name, ordinal = stack.pop()
+            occ = len(order)
+            order.append(v)
+            named = isinstance(v, dict)
+            here = named and v.get(anchor) is not None
+            keys.append(key)
+            occs.append(occ)
+            parents.append(parent)
+            owners.append(owner)
+            kinds.append("anchor" if here else "object" if named else "list")
+            pointers.append(pointer)
+            names.append(name)
+            ordinals.append(ordinal)
+            below = occ if here else owner
+            at = len(v)
+            for k in reversed(v) if named else range(at - 1, -1, -1):
+                at -= 1
+                x = v[k]
+                if isinstance(x, (dict, list)):
+                    if named:
+                        step = k.replace("~", "~0").replace("/", "~1") if "~" in k or "/" in k else k
+                        stack.append((x, occ, below, _utf8(f"{pointer}/{step}"), _utf8(k), at))
+                    else:
+                        stack.append((x, occ, below, f"{pointer}/{at}", None, at))
+        n = len(order)
+        hashes += [None] * n
+        contents += [None] * n
+        for f in fields:
+            f += [None] * n
+        refs: dict[int, str] = {}
+
+        def text(x) -> str:
+            kind = type(x)
+            return _quote(x) if kind is str else refs[id(x)] if kind is dict or kind is list else _scalar(x)
+
+        for at in range(n - 1, -1, -1):  # children come after their parent
+            v = order[at]
+            if type(v) is dict:
+                parts = []
+                for k in sorted(v):
+                    q = quoted.get(k)
+                    if q is None:
+                        q = quoted[k] = _quote(k) + ":"
+                    parts.append(q + text(v[k]))
+                content = "{" + ",".join(parts) + "}"
+            else:
+                content = "[" + ",".join(map(text, v)) + "]"
+            h = hashlib.blake2b(content.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+            refs[id(v)] = f'{{"#":"{h}"}}'
+            hashes[base + at] = h
+            if h not in seen:
+                seen.add(h)
+                contents[base + at] = _utf8(content)
+                if fields and type(v) is dict:
+                    for f, name in zip(fields, self.fields):
+                        x = v.get(name)
+                        if x is not None:
+                            f[base + at] = _utf8(x if type(x) is str else text(x))
 
 
 def merkle_rows(root, anchor: str | None) -> list[tuple]:
-    """(occ, parent_occ, owner, pointer, field, ordinal, hash, content) of each object and array.
+    """(occ, parent_occ, owner, kind, pointer, field, ordinal, hash, content) of each object and array.
 
-    occ numbers occurrences in document order; owner is the nearest enclosing object that has the
-    field `anchor`. content is canonical JSON in which a child is {"#": hash}.
+    occ numbers occurrences in document order; owner is the nearest enclosing object in which the
+    field `anchor` has a value; kind is list, object, or anchor for an object in which it has one. content is
+    canonical JSON in which a child is {"#": hash}; it is given where the subtree first comes up.
     """
-    if not isinstance(root, (dict, list)):
-        return []
-    rows: list[list] = []
-    stack = [(root, None, None, "", None, 0)]
-    order: list[tuple[int, object]] = []
-    at_id: dict[int, int] = {}
-    while stack:
-        v, parent, owner, pointer, field, ordinal = stack.pop()
-        occ = len(rows)
-        rows.append([occ, parent, owner, pointer, field, ordinal, None, None])
-        order.append((occ, v))
-        at_id[id(v)] = occ
-        below = occ if isinstance(v, dict) and anchor in v else owner
-        items = list(v.items()) if isinstance(v, dict) else [(None, x) for x in v]
-        for j in range(len(items) - 1, -1, -1):
-            k, x = items[j]
-            if isinstance(x, (dict, list)):
-                name = str(j) if k is None else k.replace("~", "~0").replace("/", "~1")
-                stack.append((x, occ, below, _utf8(f"{pointer}/{name}"), _utf8(k), j))
-    for occ, v in reversed(order):  # children come after their parent
-        def part(x):
-            return f'{{"#":"{rows[at_id[id(x)]][6]}"}}' if isinstance(x, (dict, list)) else _scalar(x)
-
-        if isinstance(v, dict):
-            content = "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{part(v[k])}" for k in sorted(v)) + "}"
-        else:
-            content = "[" + ",".join(map(part, v)) + "]"
-        rows[occ][6] = hashlib.sha256(content.encode("utf-8", "surrogatepass")).hexdigest()[:32]
-        rows[occ][7] = _utf8(content)
-    return [tuple(r) for r in rows]
+    rows = _Rows(anchor, ())
+    rows.add(None, root)
+    return list(zip(*rows.columns[1:]))
 
 
-_ROWS = "occ int, parent_occ int, owner int, pointer string, field string, ordinal int, hash string, content string"
+_ROWS = "occ int, parent_occ int, owner int, kind string, pointer string, field string, ordinal int, hash string, content string"
 
 
-def merkle_occurrences(df: DataFrame, key: str, body: str, anchor: str | None = None) -> DataFrame:
-    """One row for each object and array in each body: key and the columns of `merkle_rows`.
+def merkle_occurrences(df: DataFrame, key: str, body: str, anchor: str | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each object and array in each body: key, the columns of `merkle_rows`, and `f_` and
+    name of each of `fields` with its value in the object: text as it is, all else as JSON.
 
+    Content and fields are there at least once for each distinct subtree of a task, else null.
     Invalid, null, empty and scalar bodies give no rows. Equal keys are the caller's matter: their
-    rows can't be told apart. Memory is that of one body at a time.
+    rows can't be told apart. Memory is that of one batch of rows and one body.
     """
     src = df.select(df[key].alias(key), df[body].alias("__body"))
-    schema = T.StructType([src.schema[key], *T._parse_datatype_string(_ROWS).fields])
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+    extra = [T.StructField(f"f_{f}", T.StringType()) for f in fields]
+    schema = T.StructType([src.schema[key], *T._parse_datatype_string(_ROWS).fields, *extra])
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.string()] * len(fields)]
     names = [f.name for f in schema.fields]
 
-    def batch(keys, rows, kind):
-        cols = list(zip(*rows)) if rows else [()] * 8
-        return pa.RecordBatch.from_arrays([pa.array(keys, kind), *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, kind = _Rows(anchor, fields), pa.null()
+
+        def batch():
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows.columns, [kind, *types])], names=names)
+            rows.start()
+            return out
+
         for b in batches:
             kind = b.column(0).type
-            keys, rows = [], []
-            for k, text in zip(b.column(0), b.column(1)):
-                found = merkle_rows(parse_body(text.as_py()), anchor)
-                keys += [k.as_py()] * len(found)
-                rows += found
-                if len(rows) > 20_000:
-                    yield batch(keys, rows, kind)
-                    keys, rows = [], []
-            yield batch(keys, rows, kind)
+            for k, text in zip(b.column(0).to_pylist(), b.column(1)):
+                rows.add(k, parse_body(text.as_py()))
+                if len(rows) > 50_000:
+                    yield batch()
+        if len(rows):
+            yield batch()
 
-    return src.mapInArrow(run, schema)
+    return spread(src).mapInArrow(run, schema)
+
+
+def merkle_tables(df: DataFrame, key: str, body: str, anchor: str | None = None, fields: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(objects, bridge): objects (hash, content, fields, uses) has each distinct subtree once; bridge
+    (key, occ, parent_occ, owner, kind, pointer, field, ordinal, hash) each occurrence."""
+    every = stage(merkle_occurrences(df, key, body, anchor, fields), "merkle")
+    return distinct_objects(every, "content", *[f"f_{f}" for f in fields]), every.select(*every.columns[:9])
 
 
-def merkle_tables(df: DataFrame, key: str, body: str, anchor: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(objects, bridge): objects (hash, content, uses) has each distinct subtree once; bridge
-    (key, occ, parent_occ, owner, pointer, field, ordinal, hash) each occurrence."""
-    every = stage(merkle_occurrences(df, key, body, anchor), "merkle")
-    objects = every.groupBy("hash").agg(F.min("content").alias("content"), F.count("*").alias("uses"))
-    return objects, every.drop("content")
+def distinct_objects(every: DataFrame, *columns: str) -> DataFrame:
+    """(hash, columns, uses) of each distinct subtree, once: rows of several tasks are merged behind one
+    shuffle on the hash, which a join on it uses again."""
+    placed = every.select("hash", *columns).repartition(shuffle_partitions(every.sparkSession), "hash")
+    return placed.groupBy("hash").agg(*[F.min(c).alias(c) for c in columns], F.count("*").alias("uses"))
+
+
+def _entry() -> Column:
+    """/process_trees and the entry of it that a pointer lies in."""
+    return F.substring_index("pointer", "/", 3)
 
 
 def process_nodes(reports: DataFrame, key: str = "report_id", body: str = "body") -> DataFrame:
     """(key, tree_id, node_id, parent_id, name, ts, proc_path): each node of each tree under
-    process_trees, from the objects and bridge tables.
+    process_trees, from the objects and their occurrences.
 
     A node is an object with a node_id; its tree is the entry of process_trees it stands in (that
     entry's tree_id, else its key); its parent is its `parent` field, else the nearest node around
-    it, else ''. A node that stands in a tree several times with one parent is one row.
+    it, else ''. A node that stands in a tree several times with one parent is one row. Fields are
+    stored once for each distinct object; an occurrence carries its hash, and the commonest object
+    is no hot key (`skew_join`).
     """
-    objects, bridge = merkle_tables(reports, key, body, "node_id")
-    under = bridge.where(F.col("pointer").startswith("/process_trees/"))
-    field = lambda name: F.get_json_object("content", f"$.{name}")
-    entry = F.substring_index("pointer", "/", 3)
-    nodes = (
-        under.join(objects.where(field("node_id").isNotNull()), "hash")
-        .select(key, "occ", "owner", entry.alias("pointer"), field("node_id").alias("node_id"), field("parent").alias("parent"), field("name").alias("name"), field("timestamp").alias("ts"), field("proc_path").alias("proc_path"))
-    )
-    trees = under.where(F.col("pointer") == entry).join(objects, "hash").select(key, "pointer", F.coalesce(field("tree_id"), "field", F.lit("")).alias("tree_id"))
-    owners = nodes.select(key, F.col("occ").alias("owner"), F.col("node_id").alias("owner_id"))
+    fields = ("node_id", "parent", "name", "timestamp", "proc_path", "tree_id")
+    every = stage(merkle_occurrences(reports, key, body, "node_id", fields), "merkle")
+    places = every.where(F.col("pointer").startswith("/process_trees/")).withColumns({"entry": _entry(), "is_entry": F.col("pointer") == _entry()})
+    places = places.where((F.col("kind") == "anchor") | F.col("is_entry")).select(key, "occ", "owner", "kind", "entry", "is_entry", "field", "hash")
+    values = distinct_objects(every.where("f_node_id is not null or f_tree_id is not null"), *[f"f_{f}" for f in fields]).drop("uses")
+    known = stage(skew_join(places, values, ["hash"], "left").drop("hash"), "report-nodes")
+    nodes = known.where("kind = 'anchor'")
+    trees = known.where("is_entry").select(key, "entry", F.coalesce("f_tree_id", "field", F.lit("")).alias("tree_id"))
+    owners = nodes.select(key, F.col("occ").alias("owner"), F.col("f_node_id").alias("owner_id"))
     missing = lambda c: F.when(F.col(c).isin("None", "NaT", ""), F.lit(None)).otherwise(F.col(c))
     return (
-        nodes.join(trees, [key, "pointer"])
+        nodes.drop("occ", "field", "is_entry", "kind", "f_tree_id")
+        .join(trees, [key, "entry"])
         .join(owners, [key, "owner"], "left")
-        .groupBy(key, "tree_id", "node_id", F.coalesce("parent", "owner_id", F.lit("")).alias("parent_id"))
-        .agg(F.min("name").alias("name"), F.min(missing("ts")).alias("ts"), F.min("proc_path").alias("proc_path"))
+        .groupBy(key, "tree_id", F.col("f_node_id").alias("node_id"), F.coalesce("f_parent", "owner_id", F.lit("")).alias("parent_id"))
+        .agg(F.min("f_name").alias("name"), F.min(missing("f_timestamp")).alias("ts"), F.min("f_proc_path").alias("proc_path"))
     )
 
 
 def report_hosts(reports: DataFrame, key: str = "report_id", body: str = "body") -> DataFrame:
     """(key, host_id, host_name, op_sys, ip, env): one row for each body that is an object. An env
     that is itself an object gives its `stage`."""
-    objects, bridge = merkle_tables(reports, key, body)
-    field = lambda name: F.get_json_object("content", f"$.{name}")
-    root = bridge.where("pointer = ''").join(objects, "hash").where(F.col("content").startswith("{"))
-    env = bridge.where("pointer = '/env'").join(objects, "hash").select(key, field("stage").alias("stage"))
-    return root.join(env, key, "left").select(
-        key, field("host_id").alias("host_id"), field("host_name").alias("host_name"), field("op_sys").alias("op_sys"), field("ip").alias("ip"),
-        F.when(field("env").startswith("{"), F.col("stage")).otherwise(field("env")).alias("env"),
+    fields = ("host_id", "host_name", "op_sys", "ip", "env", "stage")
+    objects, bridge = merkle_tables(reports, key, body, None, fields)
+    at = bridge.where("kind = 'object' and pointer in ('', '/env')").select(key, "pointer", "hash")
+    found = stage(skew_join(at, objects.drop("content", "uses"), ["hash"]), "report-hosts")
+    env = found.where("pointer = '/env'").select(key, F.col("f_stage").alias("stage"), F.lit(True).alias("nested"))
+    return found.where("pointer = ''").select(key, *[f"f_{f}" for f in fields[:-1]]).join(env, key, "left").select(
+        key, *[F.col(f"f_{f}").alias(f) for f in fields[:-2]], F.when(F.col("nested"), F.col("stage")).otherwise(F.col("f_env")).alias("env")
     )
 
 
 def report_iterations(reports: DataFrame, key: str = "report_id", body: str = "body") -> DataFrame:
     """(key, tree_id, ordinal, start, elapsed, node_id): each [start, elapsed, node] of tree_iterations."""
     objects, bridge = merkle_tables(reports, key, body)
-    of = bridge.where(F.col("pointer").startswith("/tree_iterations/"))
+    of = bridge.where(F.col("pointer").startswith("/tree_iterations/") & (F.col("kind") == "list"))
     lists = of.select(key, F.col("occ").alias("parent_occ"), F.col("field").alias("tree_id")).where("tree_id is not null")
-    rows = of.where("field is null").select(key, "parent_occ", "ordinal", "hash").join(objects, "hash")
+    rows = skew_join(of.where("field is null").select(key, "parent_occ", "ordinal", "hash"), objects, ["hash"])
     item = lambda i: F.get_json_object("content", f"$[{i}]")
     return rows.join(lists, [key, "parent_occ"]).select(
         key, "tree_id", "ordinal", item(0).alias("start"), F.expr("try_cast(get_json_object(content, '$[1]') as double)").alias("elapsed"), item(2).alias("node_id")
@@ -273,11 +373,9 @@ def report_iterations(reports: DataFrame, key: str = "report_id", body: str = "b
 def report_trees(reports: DataFrame, key: str = "report_id", body: str = "body") -> DataFrame:
     """(key, tree_id, ordinal, hash): each entry of process_trees that is an object; equal trees have
     equal hashes."""
-    objects, bridge = merkle_tables(reports, key, body)
-    entries = bridge.where(F.col("pointer").startswith("/process_trees/") & (F.col("pointer") == F.substring_index("pointer", "/", 3)))
-    return entries.join(objects.where(F.col("content").startswith("{")), "hash").select(
-        key, F.coalesce(F.get_json_object("content", "$.tree_id"), "field", F.lit("")).alias("tree_id"), "ordinal", "hash"
-    )
+    objects, bridge = merkle_tables(reports, key, body, None, ("tree_id",))
+    entries = bridge.where(F.col("pointer").startswith("/process_trees/") & (F.col("pointer") == _entry()) & (F.col("kind") != "list")).select(key, "ordinal", "field", "hash")
+    return skew_join(entries, objects.select("hash", "f_tree_id"), ["hash"]).select(key, F.coalesce("f_tree_id", "field", F.lit("")).alias("tree_id"), "ordinal", "hash")
 
 
 def _scalar_at(name: str, of: str = "content") -> Column:
@@ -342,7 +440,7 @@ def flatten_json(df: DataFrame, key: str, body: str, sep: str = "->") -> DataFra
     def text(v):
         if isinstance(v, list):
             return canonical(v)
-        return v if v is None or isinstance(v, str) else "true" if v else "false"
+        return v if v is None or isinstance(v, str) else _scalar(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,11 +8,15 @@ strings; nodes are told apart by id, never by name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .hierarchy import ancestors, roots
+from .hierarchy import ancestors, deepest_below, roots
+from .indexing import number_rows
+from .skew import skew_join
 
 _CUT = "\u0001"
 
@@ -26,6 +30,12 @@ def as_nodes(rows: DataFrame, tree: str, node: str, parent: str, name: str, *ext
     return rows.select(s(tree).alias("tree_id"), s(node).alias("node_id"), s(parent).alias("parent_id"), s(name).alias("name"), *extra)
 
 
+def with_known_parents(nodes: DataFrame) -> DataFrame:
+    """`nodes` without parents that their tree does not have: a node under such a one is a root."""
+    known = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("__known"))
+    return skew_join(nodes, known, ["tree_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("__known"), F.col("parent_id"))).select(*nodes.columns)
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree_id, node_id, name, root_id, depth, ids, names): ids and names from the root to the node;
     nodes on or under a cycle have depth -1 and null paths."""
@@ -117,6 +127,17 @@ def signatures(nodes: DataFrame, found: DataFrame, truncate_at_root_name: bool =
     return counts.groupBy("tree_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("p", "n")))), 256).alias("signature"))
 
 
+def signature_groups(sig: DataFrame) -> DataFrame:
+    """(signature, first, n): the least id and the number of trees with each signature."""
+    return sig.groupBy("signature").agg(F.min("tree_id").alias("first"), F.count("*").alias("n"))
+
+
+def match_groups(sig: DataFrame) -> DataFrame:
+    """(tree_id, first, matches): each tree with the least id of its equals and the number of the
+    others; pairs of equal trees are not written out. `sig` is staged."""
+    return skew_join(sig, signature_groups(sig), ["signature"]).select("tree_id", "first", (F.col("n") - 1).alias("matches"))
+
+
 def matches(a: DataFrame, b: DataFrame) -> DataFrame:
     """(tree_id, other): trees of signatures `a` with the equal ones of `b`."""
     return a.join(b.select(F.col("tree_id").alias("other"), "signature"), "signature").select("tree_id", "other")
@@ -130,39 +151,61 @@ def subtree(found: DataFrame, node_id: str) -> DataFrame:
     )
 
 
-def subtree_depths(found: DataFrame) -> DataFrame:
-    """(tree_id, node_id, height): layers from the node down; 1 for a leaf."""
-    steps = found.where("depth >= 0").select("tree_id", F.posexplode("ids").alias("at", "node_id"), "depth")
-    return steps.groupBy("tree_id", "node_id").agg(F.max(F.col("depth") - F.col("at") + 1).alias("height"))
+def subtree_depths(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(tree_id, node_id, height): layers from the node down; 1 for a leaf. Nodes that no root reaches
+    have none. `found` is `levels` or `paths`."""
+    keyed = nodes.select(_key("tree_id", "node_id").alias("key"), _key("tree_id", "parent_id").alias("up"))
+    depth = found.select(_key("tree_id", "node_id").alias("node"), "depth")
+    below = deepest_below(keyed, depth, "key", "up")
+    return below.select(F.substring_index("node", _CUT, 1).alias("tree_id"), F.substring_index("node", _CUT, -1).alias("node_id"), (F.col("below") - F.col("depth") + 1).alias("height"))
 
 
-def has_subtree(found: DataFrame, other: DataFrame) -> DataFrame:
-    """(tree_id, start_id): the places in the trees of `found` that hold the one tree of `other`.
+def has_subtree(nodes: DataFrame, other: DataFrame) -> DataFrame:
+    """(tree_id, start_id): the places in the trees of `nodes` that hold the one tree of `other`, rows
+    of `paths`.
 
     A place is a node named like the other's root under which, for every layer, each (name, parent's
-    name) occurs at least as often as in the other tree.
+    name) occurs at least as often as in the other tree. The search starts at the nodes with the
+    root's name and steps down one layer at a time, only under nodes whose name has children there.
     """
-    parent = lambda names, at: F.when(at > 0, F.element_at(names, at))
-    depth = F.col("depth")
-    need = other.groupBy(depth.alias("layer"), F.col("name").alias("n"), parent(F.col("names"), depth).alias("p")).agg(F.count("*").alias("need"))
+    parent = F.when(F.col("depth") > 0, F.element_at("names", F.greatest("depth", F.lit(1))))
+    need = other.where("depth >= 0").groupBy(F.col("depth").alias("layer"), F.col("name").alias("n"), parent.alias("p")).agg(F.count("*").alias("need"))
     need = stage(need, "subtree-need")
-    kinds, last, root = need.agg(F.count("*"), F.max("layer"), F.max(F.when(F.col("layer") == 0, F.col("n")))).first()
-    at = F.col("at")
-    starts = found.where("depth >= 0").select("tree_id", F.posexplode("ids").alias("at", "start_id"), "depth", "name", "names")
-    starts = starts.where((F.element_at("names", at + 1) == root) & (depth - at <= (last if last is not None else -1)))
-    have = starts.groupBy("tree_id", "start_id", (depth - at).alias("layer"), F.col("name").alias("n"), F.when(depth > at, F.element_at("names", F.greatest(depth, F.lit(1)))).alias("p")).agg(F.count("*").alias("have"))
-    ok = have.join(need, [have["layer"] == need["layer"], have["n"] == need["n"], have["p"].eqNullSafe(need["p"])]).where("have >= need")
+    kinds, last = need.agg(F.count("*"), F.max("layer")).first()
+    if last is None:
+        return nodes.select("tree_id", F.col("node_id").alias("start_id")).where("false")
+    at = nodes.select("tree_id", F.col("node_id").alias("start_id"), "node_id", F.col("name").alias("n"), F.lit(None).cast("string").alias("p"), F.lit(0).alias("layer"))
+    at = at.join(F.broadcast(need.where("layer = 0").select("n")), at["n"].eqNullSafe(need["n"])).select(at["*"])
+    found = [at.select("tree_id", "start_id", "layer", "n", "p")]
+    for layer in range(1, last + 1):
+        inner = need.where(F.col("layer") == layer).select(F.col("p").alias("inner")).distinct()
+        above = at.join(inner, at["n"].eqNullSafe(inner["inner"])).select("tree_id", F.col("node_id").alias("parent_id"), "start_id", F.col("n").alias("p"))
+        at = skew_join(nodes.select("tree_id", "node_id", "parent_id", F.col("name").alias("n")), above, ["tree_id", "parent_id"])
+        at = at.select("tree_id", "start_id", "node_id", "n", "p", F.lit(layer).alias("layer"))
+        found.append(at.select("tree_id", "start_id", "layer", "n", "p"))
+    have = reduce(DataFrame.unionByName, found).groupBy("tree_id", "start_id", "layer", "n", "p").agg(F.count("*").alias("have"))
+    ok = have.join(need, (have["layer"] == need["layer"]) & have["n"].eqNullSafe(need["n"]) & have["p"].eqNullSafe(need["p"])).where("have >= need")
     return ok.groupBy("tree_id", "start_id").agg(F.count("*").alias("k")).where(F.col("k") == kinds).select("tree_id", "start_id")
 
 
 def last_leaves(nodes: DataFrame, order: str = "node_id") -> DataFrame:
-    """(tree_id, node_id, leaf_id): where the chain of first children (lowest `order`) ends."""
+    """(tree_id, node_id, leaf_id): where the chain of first children (lowest `order`) ends; '' if it
+    never does."""
     first = nodes.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.min_by("node_id", order).alias("child"))
     down = nodes.select("tree_id", "node_id").join(first, ["tree_id", "node_id"], "left").select(_key("tree_id", "node_id").alias("key"), _key("tree_id", "child").alias("next"))
-    a = ancestors(down, "key", "next", None)
+    a = roots(down, "key", "next")
     return a.select(F.substring_index("node", _CUT, 1).alias("tree_id"), F.substring_index("node", _CUT, -1).alias("node_id"), F.substring_index("root", _CUT, -1).alias("leaf_id"))
 
 
+def branch_to_leaf(nodes: DataFrame, order: str = "node_id") -> DataFrame:
+    """(tree_id, node_id, leaf_id, branch): the chain of first children from the node down to its
+    last leaf, as names; null for a chain that never ends."""
+    first = nodes.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.min_by("node_id", order).alias("child"))
+    down = nodes.select("tree_id", "node_id", "name").join(first, ["tree_id", "node_id"], "left").select(_key("tree_id", "node_id").alias("key"), _key("tree_id", "child").alias("next"), "name")
+    a = ancestors(down, "key", "next", "name")
+    return a.select(F.substring_index("node", _CUT, 1).alias("tree_id"), F.substring_index("node", _CUT, -1).alias("node_id"), F.substring_index("root", _CUT, -1).alias("leaf_id"), F.reverse("names").alias("branch"))
+
+
 def child_names(nodes: DataFrame) -> DataFrame:
     """(tree_id, node_id, children, names): number of children and their distinct names; nodes with
     equal values have the same children."""
@@ -173,14 +216,19 @@ def child_names(nodes: DataFrame) -> DataFrame:
 
 def layout(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(tree_id, node_id, x, y) from 0 to 1: x by layer, y by the order of leaves along their paths
-    (equal ids of different length in their own order); an inner node has the y of its last leaf."""
+    (equal ids of different length in their own order); an inner node has the y of its last leaf.
+    Nodes that no root reaches have none. Leaves of all trees are numbered together, so no task
+    orders the leaves of one large tree."""
+    found = found.where("depth >= 0")
     deepest = found.groupBy("tree_id").agg(F.max("depth").alias("last"))
-    leaf = leaves(nodes).select("tree_id", "node_id").join(found, ["tree_id", "node_id"])
-    w = Window.partitionBy("tree_id")
-    placed = leaf.withColumn("rn", F.row_number().over(w.orderBy("ids")) - 1).withColumn("n", F.count("*").over(w))
-    ys = placed.select("tree_id", F.explode("ids").alias("node_id"), (F.col("rn") / F.greatest(F.col("n") - 1, F.lit(1))).alias("y"))
-    ys = ys.groupBy("tree_id", "node_id").agg(F.max("y").alias("y"))
-    return found.join(deepest, "tree_id").join(ys, ["tree_id", "node_id"]).select("tree_id", "node_id", (F.col("depth") / F.greatest(F.col("last"), F.lit(1))).alias("x"), "y")
+    leaf = leaves(nodes).select("tree_id", "node_id").join(found.select("tree_id", "node_id", "ids"), ["tree_id", "node_id"])
+    numbered = stage(number_rows(leaf, "tree_id", "ids", name="at"), "leaf-order")
+    ends = numbered.groupBy("tree_id").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    last_leaf = numbered.select("tree_id", F.explode("ids").alias("node_id"), "at").groupBy("tree_id", "node_id").agg(F.max("at").alias("at"))
+    of_tree = deepest.join(ends, "tree_id")
+    placed = found.select("tree_id", "node_id", "depth").join(last_leaf, ["tree_id", "node_id"])
+    y = (F.col("at") - F.col("first")) / F.greatest(F.col("n") - 1, F.lit(1))
+    return skew_join(stage(placed, "layout"), of_tree, ["tree_id"]).select("tree_id", "node_id", (F.col("depth") / F.greatest(F.col("last"), F.lit(1))).alias("x"), y.alias("y"))
 
 
 def append_nodes(nodes: DataFrame, more: DataFrame) -> DataFrame:
@@ -226,18 +274,27 @@ def find_matches(trees: DataFrame, signature: str) -> DataFrame:
     return trees.where(F.col("signature") == signature).select("host_id", "tree_id")
 
 
-def build_master(host_trees: DataFrame, name: str, digits: int = 7) -> DataFrame:
+def build_master(host_trees: DataFrame, name: str, digits: int = 7, start: int = 1) -> DataFrame:
     """(master_id, signature, hosts): one master tree for each signature of the deduped trees,
-    numbered by its least (host_id, tree_id). A host with two equal trees is an error."""
-    from .indexing import number_rows
-
+    numbered from `start` by its least (host_id, tree_id). A host with two equal trees is an error."""
     per_host = host_trees.groupBy("signature", "host_id").agg(F.min("tree_id").alias("tree_id"), F.count("*").alias("n"))
     once = F.when(F.col("n") == 1, F.col("tree_id")).otherwise(F.raise_error(F.lit("a host has two equal trees; dedupe first")).cast("string"))
     grouped = per_host.groupBy("signature").agg(F.min(F.struct("host_id", once.alias("tree_id"))).alias("first"), F.count("*").alias("hosts"))
-    numbered = number_rows(grouped, F.col("first.host_id"), F.col("first.tree_id"), name="no", start=1)
+    numbered = number_rows(grouped, F.col("first.host_id"), F.col("first.tree_id"), name="no", start=start)
     return numbered.select(F.concat(F.lit(f"{name}_MasterTree_"), F.lpad(F.col("no").cast("string"), digits, "0")).alias("master_id"), "signature", "hosts")
 
 
+def include_trees(master: DataFrame, more: DataFrame, name: str, digits: int = 7) -> DataFrame:
+    """`master` (master_id, signature, hosts) with the trees of other hosts taken in: a tree that is
+    there already adds its hosts, a new one is numbered after the last. `more` is deduped trees
+    (host_id, tree_id, signature) of hosts that the master does not have yet."""
+    taken = master.agg(F.max(F.substring_index("master_id", "_", -1).cast("bigint"))).first()[0] or 0
+    added = more.groupBy("signature").agg(F.countDistinct("host_id").alias("added"))
+    known = master.join(added, "signature", "left").select("master_id", "signature", (F.col("hosts") + F.coalesce("added", F.lit(0))).alias("hosts"))
+    new = build_master(more.join(master.select("signature"), "signature", "left_anti"), name, digits, taken + 1)
+    return known.unionByName(new)
+
+
 def containing_hosts(master: DataFrame, host_trees: DataFrame) -> DataFrame:
     """(master_id, host_id, tree_id): the mapping of master trees to hosts, in long form, as a tree may
     be on very many hosts."""

@@ -153,9 +153,9 @@ def oracle_sql() -> dict[str, str]:
         "lfihf_bool": _weight_sql("1", smooth, l2),
         "lfihf_no_ihf": _weight_sql("cnt", "1", l2),
         "ihf_weights": _N2 + "select log, round(ln((1 + any_value(n)) / (1 + count(*))) + 1, 6) as ihf from c, n group by log",
-        "vectorizer_transform": _N3 + f""", f as (select log, count(*) as hf from c where host % 3 = 0 group by log having count(*) >= 2),
-            v as (select log, row_number() over (order by log) - 1 as idx, ln((1 + (select count(distinct host) from c where host % 3 = 0)) / (1e0 + hf)) + 1 as ihf from f),
-            w as (select host, idx, log, cnt * ihf as w from c join v using (log) where host % 3 <> 0)
+        "vectorizer_transform": _N3 + f""", f as (select log, count(*) as hf from c group by log having count(*) >= 2),
+            v as (select log, row_number() over (order by log) - 1 as idx, ln((1 + (select count(distinct host) from c)) / (1e0 + hf)) + 1 as ihf from f),
+            w as (select host, idx, log, cnt * ihf as w from c join v using (log))
             select host, idx, log, round(w / {l2}, 6) as value from w""",
         "apriori_itemsets": f"""with {BASKETS}, n as (select greatest(1, floor(count(distinct txn) * 0.04)) as least from b),
             p as (select x.item || '|' || y.item as itemset, 2 as size, count(*) as support from b x join b y on x.txn = y.txn and x.item < y.item group by 1
@@ -172,7 +172,7 @@ def oracle_sql() -> dict[str, str]:
             select host, array_to_string(list_concat(list_transform(range(len - len(codes)), lambda x: repeat('0', wide) || '1'),
               list_transform(codes, lambda c: repeat('0', c::bigint) || '1' || repeat('0', (wide - 1 - c)::bigint) || '1')), ',') as rows from a, m""",
         "unique_items": "select distinct event_type as item from events",
-        "sliding_window": f"""with {SEQ}, a as (select host, list(log order by pos) as a, count(*) as n from seq where pos <= 9 group by host),
+        "sliding_window": f"""with {SEQ}, a as (select host, list(log order by pos) as a, count(*) as n from seq group by host),
             s as (select *, unnest(range(0, case when n <= 4 then 1 else (n - 4) // 3 + 1 + case when (n - 4) % 3 > 0 and 3 - (n - 4) % 3 < 4 then 1 else 0 end end)) as i from a)
             select host, i::int as i, array_to_string(list_concat(a[i * 3 + 1:i * 3 + 4], list_transform(range(4 - len(a[i * 3 + 1:i * 3 + 4])), lambda x: '!')), ',') as w from s""",
         "batch": f"""with {SEQ} select host, ((pos - 1) // 4)::int as i, string_agg(log, ',' order by pos) as w from seq group by 1, 2""",

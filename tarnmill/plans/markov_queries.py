@@ -128,7 +128,6 @@ def oracle_sql() -> dict[str, str]:
         "order3_counts": _O + "select a || '|' || b || '|' || c as state, coalesce(e, '<EOS>') as next, count(*) as cnt from f where c is not null group by all",
         "order2_extend": _O + "select * from c2",
         "start_probs": _O + "select state, cnt, round(prob, 6) as prob from s2",
-        "order2_sequence_probability": _O + """, x as (select host, pos, state, case when pos = 4 then '<EOS>' else next end as next from o2 where pos <= 4),
-            y as (select host, coalesce(s2.prob, 0) as prob from x left join s2 using (state) where pos = 1 union all select host, coalesce(q2.prob, 0) from x left join q2 using (state, next))
-            select host, round(case when min(prob) <= 0 then 0 else exp(sum(ln(case when prob > 0 then prob else 1 end))) end, 6) as prob from y group by host""",
+        "order2_sequence_probability": _O + """, y as (select host, s2.prob from o2 left join s2 using (state) where pos = 1 union all select host, q2.prob from o2 left join q2 using (state, next))
+            select host, round(case when count(*) = count(prob) then sum(ln(prob)) end, 6) as log_prob from y group by host""",
     }

@@ -44,7 +44,8 @@ def null_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def drop_all_null(spark: SparkSession, d: str) -> DataFrame:
     flat = schema.flatten_and_drop_null(table(spark, d, "agent_states"), "all")
-    return flat.withColumn("disk_main_size_gb", F.nanvl("disk_main_size_gb", F.lit(None).cast("double")))
+    text = {c: F.to_json(c, {"ignoreNullFields": "false"}) for c in ("nics", "marks", "host_site_tags") if c in flat.columns}  # as SQL writes nested values
+    return flat.withColumns({"disk_main_size_gb": F.nanvl("disk_main_size_gb", F.lit(None).cast("double")), **text})
 
 
 def flatten_dict(spark: SparkSession, d: str) -> DataFrame:
@@ -161,8 +162,9 @@ def oracle_sql() -> dict[str, str]:
         "null_profile": """select count(*) filter (state_id is null) as state_id, count(*) filter (host.id is null) as host_id, count(*) filter (coalesce(host.os, host_os) is null) as host_os,
             count(*) filter (host.site.room is null) as host_site_room, count(*) filter (host.site.rack is null) as host_site_rack, count(*) filter (coalesce(disk.main.mount, disk_main_mount) is null) as disk_main_mount,
             count(*) filter (disk.main.label is null) as disk_main_label, count(*) filter (disk.main.size_gb is null or isnan(disk.main.size_gb)) as disk_main_size_gb, count(*) filter (disk.encrypted is null) as disk_encrypted,
-            count(*) filter (legacy_note is null) as legacy_note from agent_states""",
-        "drop_all_null": """select state_id, host.id as host_id, host.os as host_os, host.site.room as host_site_room, host.site.rack as host_site_rack, disk.main.mount as disk_main_mount, disk.main.label as disk_main_label,
+            count(*) filter (legacy_note is null) as legacy_note, count(*) filter (nics is null) as nics, count(*) filter (marks is null) as marks, count(*) filter (host.site.tags is null) as host_site_tags from agent_states""",
+        "drop_all_null": """select state_id, host.id as host_id, coalesce(host.os, host_os) as host_os, host.site.room as host_site_room, host.site.rack as host_site_rack, to_json(host.site.tags)::varchar as host_site_tags, to_json(nics)::varchar as nics, to_json(marks)::varchar as marks,
+            coalesce(disk.main.mount, disk_main_mount) as disk_main_mount, disk.main.label as disk_main_label,
             case when isnan(disk.main.size_gb) then null else disk.main.size_gb end as disk_main_size_gb, disk.encrypted as disk_encrypted from agent_states""",
         "flatten_dict": f"""select c_custkey as "who->c_custkey", c_name as "who->c_name", {seg} as "who->market->segment", c_acctbal as "acct->bal" from customer""",
         "flatten_array": "select n_regionkey, unnest([min(n_name), max(n_name), 'z']) as name from nation group by n_regionkey",

@@ -112,10 +112,6 @@ n as (select report_id, tree_id, value ->> 'node_id' as node_id, coalesce(value
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "flatten_json": _BODY.rstrip(",\n ") + """, w as (select report_id, id, type, null::varchar as path, value from t where parent is null and type = 'OBJECT'
-              union all select t.report_id, t.id, t.type, concat_ws('->', w.path, t.key), t.value from t join w on t.report_id = w.report_id and t.parent = w.id where w.type = 'OBJECT')
-            select report_id, path, case when type = 'NULL' then null when type = 'ARRAY' then value::varchar else value ->> '$' end as value from w
-            where type <> 'OBJECT' and not regexp_matches(path, '^(process_trees|tree_iterations)')""",
         "p5_found": _TREE + "select guid, root as root_guid from t where depth >= 12 union all select guid, '' from p where guid not in (select guid from t)",
         "p5_hierarchy": _TREE + """select p.guid, coalesce(root, '') as root_guid, coalesce(depth, -1) as depth, path, coalesce(descendants, 0) as descendants, root is null as endless
             from p left join t using (guid) left join below on below.node = p.guid""",
@@ -134,4 +130,6 @@ def oracle_sql() -> dict[str, str]:
         "p6_addresses": """select state_id, nic_ord, (j - 1)::int as addr_ord, a[j].ip as ip, array_to_string(a[j].scopes, ',') as scopes from
             (select state_id, nic_ord, a, unnest(range(1, len(a) + 1)) as j from
               (select state_id, (i - 1)::int as nic_ord, nics[i].addrs as a from (select state_id, nics, unnest(range(1, len(nics) + 1)) as i from agent_states)))""",
+        "p6_tags": "select state_id, (i - 1)::int as tag_ord, tags[i] as tag from (select state_id, host.site.tags as tags, unnest(range(1, len(host.site.tags) + 1)) as i from agent_states)",
+        "p6_marks": "select state_id, e.key as mark, e.value as value from (select state_id, unnest(map_entries(marks)) as e from agent_states)",
     }

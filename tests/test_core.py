@@ -261,7 +261,7 @@ def test_trees(spark):
     assert all(r["valid"] for r in trees.validate(nodes, p).collect())
     bad = tree_df(spark, [("1", "a", "b", "r"), ("1", "b", "a", "x"), ("2", "a", None, "r"), ("2", "a", None, "r"), ("3", "k", "gone", "r")])
     assert [r["valid"] for r in trees.validate(bad, trees.paths(bad.distinct())).orderBy("tree_id").collect()] == [False] * 3
-    assert rows(trees.has_subtree(p, p.where("tree_id = '3'"))) == [("1", "c"), ("2", "e"), ("3", "a")]
+    assert rows(trees.has_subtree(nodes, p.where("tree_id = '3'"))) == [("1", "c"), ("2", "e"), ("3", "a")]
     assert trees.paths(nodes.limit(0)).count() == 0
 
 
