@@ -206,7 +206,8 @@ class _Rows:
             for k in reversed(v) if named else range(at - 1, -1, -1):
                 at -= 1
                 x = v[k]
-                if isinstance(x, (dict, list)):
+                kind = type(x)
+                if kind is dict or kind is list:
                     if named:
                         step = k.replace("~", "~0").replace("/", "~1") if "~" in k or "/" in k else k
                         stack.append((x, occ, below, _utf8(f"{pointer}/{step}"), _utf8(k), at))
@@ -231,7 +232,9 @@ class _Rows:
                     q = quoted.get(k)
                     if q is None:
                         q = quoted[k] = _quote(k) + ":"
-                    parts.append(q + text(v[k]))
+                    x = v[k]
+                    kind = type(x)
+                    parts.append(q + (_quote(x) if kind is str else refs[id(x)] if kind is dict or kind is list else _scalar(x)))
                 content = "{" + ",".join(parts) + "}"
             else:
                 content = "[" + ",".join(map(text, v)) + "]"
@@ -328,10 +331,16 @@ def process_nodes(reports: DataFrame, key: str = "report_id", body: str = "body"
     """
     fields = ("node_id", "parent", "name", "timestamp", "proc_path", "tree_id")
     every = stage(merkle_occurrences(reports, key, body, "node_id", fields), "merkle")
+    values = [f"f_{f}" for f in fields]
     places = every.where(F.col("pointer").startswith("/process_trees/")).withColumns({"entry": _entry(), "is_entry": F.col("pointer") == _entry()})
-    places = places.where((F.col("kind") == "anchor") | F.col("is_entry")).select(key, "occ", "owner", "kind", "entry", "is_entry", "field", "hash")
-    values = distinct_objects(every.where("f_node_id is not null or f_tree_id is not null"), *[f"f_{f}" for f in fields]).drop("uses")
-    known = stage(skew_join(places, values, ["hash"], "left").drop("hash"), "report-nodes")
+    places = places.where((F.col("kind") == "anchor") | F.col("is_entry"))
+    columns = [key, "occ", "owner", "kind", "entry", "is_entry", "field"]
+    # An occurrence that has its content has its fields too; only later ones look them up.
+    first = places.where("content is not null").select(*columns, *values)
+    again = stage(places.where("content is null").select(*columns, "hash"), "repeated-objects")
+    used = every.where("content is not null").join(again.select("hash").distinct(), "hash", "left_semi")
+    looked_up = skew_join(again, distinct_objects(used, *values).drop("uses"), ["hash"]).drop("hash")
+    known = stage(first.unionByName(looked_up), "report-nodes")
     nodes = known.where("kind = 'anchor'")
     trees = known.where("is_entry").select(key, "entry", F.coalesce("f_tree_id", "field", F.lit("")).alias("tree_id"))
     owners = nodes.select(key, F.col("occ").alias("owner"), F.col("f_node_id").alias("owner_id"))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..staging import shuffle_partitions
 
 #: Rows that one task joins without trouble; no key with fewer is spread.
-HOT_ROWS = 100_000
+HOT_ROWS = 1_000_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows: int) -> DataFrame | None:
