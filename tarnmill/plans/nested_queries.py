@@ -14,7 +14,9 @@ def _ancestors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.roots(hierarchy.clean_processes(table(spark, d, "processes"))).where("depth >= 12 or depth < 0").select(F.col("node").alias("guid"), F.col("root").alias("root_guid"))
+    """Depth is that of the whole path: the number of nodes above."""
+    found = _ancestors(spark, d).where((F.col("depth") < 0) | (F.size("names") > 12))
+    return found.select(F.col("node").alias("guid"), F.col("root").alias("root_guid"))
 
 
 def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
