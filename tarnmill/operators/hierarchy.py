@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import drop_staged, stage
+from ..staging import stage
 from .skew import skew_join
 
 
@@ -40,38 +40,24 @@ def clean_processes(rows: DataFrame, *extra: str) -> DataFrame:
 
 class _Rounds:
     """Staged tables of the rounds so far. Each node is in the latest table that has it: finished
-    (to is null) where it finished, unfinished in the last one.
-
-    A node that is a target in a round has a node under it at the jump's length, so it was one in all
-    rounds before; so the targets are kept apart, and get fewer with every round, as the jumping rows do.
-    """
+    (to is null) where it finished, unfinished in the last one."""
 
     def __init__(self, first: DataFrame, label: str):
-        self.tables, self.targets, self.label = [stage(first, label)], None, label
+        self.tables, self.label = [stage(first, label)], label
 
-    def every(self) -> DataFrame:
-        done = [t.where("to is null") for t in self.tables]
-        return reduce(DataFrame.unionByName, done, self.left())
+    def every(self, only: str | Column = "true") -> DataFrame:
+        only = F.expr(only) if isinstance(only, str) else only
+        return reduce(DataFrame.unionByName, [t.where("to is null").where(only) for t in self.tables], self.left().where(only))
 
     def left(self) -> DataFrame:
         return self.tables[-1].where("to is not null")
 
-    def target(self) -> DataFrame:
-        """The rows that unfinished ones point to, as they are now."""
-        last, old = self.tables[-1], self.targets
-        now = last if old is None else old.where("to is null").unionByName(last)
-        wanted = self.left().select(F.col("to").alias("node")).distinct()
-        self.targets = stage(now.join(wanted, "node", "left_semi"), self.label)
-        if old is not None:
-            drop_staged(old)
-        return self.targets
-
     def add(self, table: DataFrame) -> None:
         self.tables.append(stage(table, self.label))
 
 
-def _double(links: DataFrame) -> DataFrame:
-    """(node, to, root, depth) of (node, up), staged: to is null once the root is reached, and stays
+def _double(links: DataFrame) -> _Rounds:
+    """Rounds of (node, to, root, depth) of (node, up): to is null once the root is reached, and stays
     set for nodes that never reach one."""
     known = links.select(F.col("node").alias("up"), F.lit(True).alias("known"))
     start = skew_join(links.select("node", "up"), known, ["up"], "left").select("node", F.when(F.col("known"), F.col("up")).alias("to"))
@@ -79,14 +65,14 @@ def _double(links: DataFrame) -> DataFrame:
     rounds = _Rounds(start.select("node", "to", F.when(is_root, F.col("node")).alias("root"), F.when(is_root, 0).otherwise(1).alias("depth")), "tree-pointers")
     left = rounds.left().count()
     while left:
-        target = rounds.target().select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
+        target = rounds.every().select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
         jumped = skew_join(rounds.left(), target, ["to"], "inner", left)
         rounds.add(jumped.select("node", F.col("to2").alias("to"), F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth")))
         still = rounds.left().count()
         if still == left:
             break
         left = still
-    return rounds.every()
+    return rounds
 
 
 def _links(nodes: DataFrame, key: str, parent: str, name: str | None) -> DataFrame:
@@ -95,9 +81,9 @@ def _links(nodes: DataFrame, key: str, parent: str, name: str | None) -> DataFra
     return stage(base, "tree-links")
 
 
-def _roots(doubled: DataFrame) -> DataFrame:
+def _roots(doubled: _Rounds) -> DataFrame:
     ended = F.col("to").isNull()
-    return doubled.select("node", F.when(ended, F.col("root")).otherwise(F.lit("")).alias("root"), F.when(ended, F.col("depth")).otherwise(F.lit(-1)).alias("depth"))
+    return doubled.every().select("node", F.when(ended, F.col("root")).otherwise(F.lit("")).alias("root"), F.when(ended, F.col("depth")).otherwise(F.lit(-1)).alias("depth"))
 
 
 def roots(nodes: DataFrame, key: str = "guid", parent: str = "parent_guid") -> DataFrame:
@@ -114,15 +100,20 @@ def ancestors(nodes: DataFrame, key: str = "guid", parent: str = "parent_guid",
     table gives no rows.
     """
     links = _links(nodes, key, parent, name)
-    found = _roots(_double(links))
-    deepest = found.agg(F.max("depth")).first()[0] or 0
+    doubled = _double(links)
+    found = _roots(doubled)
+    # Last round in which a node has any node under it at the jump's length: it is no target after.
+    jumps = [t.where("to is not null").select(F.col("to").alias("node"), F.lit(r).alias("rank")) for r, t in enumerate(doubled.tables)]
+    ranks = reduce(DataFrame.unionByName, jumps).groupBy("node").agg(F.max("rank").alias("rank"))
+    start = links.join(found.where("depth >= 0").select("node", "depth"), "node").join(ranks, "node", "left")
     to = F.when(F.col("depth") > 0, F.col("up"))
-    rounds = _Rounds(links.join(found.where("depth >= 0"), "node").select("node", "depth", to.alias("to"), F.array("node").alias("ids"), F.array("name").alias("names")), "tree-paths")
-    for _ in range(deepest.bit_length()):
+    rounds = _Rounds(start.select("node", "depth", "rank", to.alias("to"), F.array("node").alias("ids"), F.array("name").alias("names")), "tree-paths")
+    sizes = rounds.tables[0].agg(F.max("depth"), *[F.count_if(F.col("depth") >= (1 << r)) for r in range(32)]).first()
+    for r in range((sizes[0] or 0).bit_length()):
         # Before round r a segment covers min(depth + 1, 2^r) nodes; those that cover all are done.
-        target = rounds.target().select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("ids").alias("ids2"), F.col("names").alias("names2"))
-        joined = skew_join(rounds.left(), target, ["to"])
-        rounds.add(joined.select("node", "depth", F.col("to2").alias("to"), F.concat("ids2", "ids").alias("ids"), F.concat("names2", "names").alias("names")))
+        target = rounds.every(F.col("rank") >= r).select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("ids").alias("ids2"), F.col("names").alias("names2"))
+        joined = skew_join(rounds.left(), target, ["to"], "inner", sizes[1 + r])
+        rounds.add(joined.select("node", "depth", "rank", F.col("to2").alias("to"), F.concat("ids2", "ids").alias("ids"), F.concat("names2", "names").alias("names")))
     ended = rounds.every().select("node", F.element_at("ids", 1).alias("root"), "depth", "ids", "names")
     nothing = F.lit(None).cast("array<string>")
     return ended.unionByName(found.where("depth < 0").select("node", "root", "depth", nothing.alias("ids"), nothing.alias("names")))
