@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import shuffle_partitions
+from ..operators.skew import skew_join
+from ..staging import shuffle_partitions, stage
 
 
 def plain_item(item: Column) -> Column:
@@ -31,10 +32,11 @@ def pair_counts(items: DataFrame, min_count: int = 1, chunk: int = 64) -> DataFr
     """
     parts = shuffle_partitions(items.sparkSession)
     items = items.select("txn", "item").where("txn is not null and item is not null")
-    support = items.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-    kept = items.join(support.select("item"), "item", "left_semi")
+    support = stage(items.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= min_count), "item-support")
+    # An item in very many baskets, and a basket of very many items, are spread.
+    kept = stage(skew_join(items, support.select("item"), ["item"], "left_semi"), "frequent-items") if min_count > 1 else items
     sizes = kept.groupBy("txn").agg(F.count("*").alias("size"))
-    sized = kept.join(sizes, "txn").withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int"))
+    sized = skew_join(kept, sizes, ["txn"]).withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int"))
     ordinary = sized.where("chunks = 1").groupBy("txn").agg(F.array_sort(F.collect_list("item")).alias("items"))
     pairs_in = F.flatten(
         F.transform("items", lambda a, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda b: F.struct(a.alias("item_a"), b.alias("item_b"))))
@@ -60,12 +62,10 @@ def pair_counts(items: DataFrame, min_count: int = 1, chunk: int = 64) -> DataFr
         .where((F.col("c1") != F.col("c2")) | (F.col("a") < F.col("b")))
         .select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b"))
     )
-    counted = small.unionByName(large).groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_count)
-    return (
-        counted.join(support.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a")
-        .join(support.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b")
-        .select("item_a", "item_b", "n_a", "n_b", "n_ab")
-    )
+    counted = stage(small.unionByName(large).groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_count), "pair-counts")
+    rows = counted.count()
+    with_a = skew_join(counted, support.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), ["item_a"], "inner", rows)
+    return skew_join(with_a, support.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), ["item_b"], "inner", rows).select("item_a", "item_b", "n_a", "n_b", "n_ab")
 
 
 def association(pairs: DataFrame, n: int) -> DataFrame:

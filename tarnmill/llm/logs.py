@@ -24,7 +24,7 @@ def plain_log(log: Column) -> Column:
 def clean_log_rows(rows: DataFrame, with_ts: bool = False) -> DataFrame:
     """(host_id, block, pos, log[, ts]): clean rows with plain logs.
 
-    Rows without host_id or pos have no place in a sequence and are left out. Of rows with equal
+    Rows without host_id or pos have no place in a sequence and are left out (`loose_rows`). Of rows with equal
     (host_id, pos) the one with the lowest row_id stays (ties: the lowest log, then ts); a null
     row_id counts as lowest. Then rows with a null log or an empty plain log go. Redelivered rows
     are merged before the shuffle, which is on (host_id, pos) and so has no hot key.
@@ -41,6 +41,13 @@ def clean_log_rows(rows: DataFrame, with_ts: bool = False) -> DataFrame:
     return one.where(F.col("r.log").isNotNull()).select(*cols).where(F.col("log") != "")
 
 
+def loose_rows(rows: DataFrame) -> DataFrame:
+    """(host_id, log): rows with a host and a plain log but without pos. They stand nowhere in a
+    sequence and can't be told to be redelivered, so each counts as an occurrence of its log."""
+    found = rows.where(F.col("host_id").isNotNull() & F.col("pos").isNull() & F.col("log").isNotNull())
+    return found.select("host_id", plain_log(F.col("log")).alias("log")).where(F.col("log") != "")
+
+
 def staged_clean_rows(rows: DataFrame, with_ts: bool = False) -> DataFrame:
     return stage(clean_log_rows(rows, with_ts), "clean-logs")
 

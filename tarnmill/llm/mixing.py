@@ -18,8 +18,10 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import small
+from ..staging import small, stage
 
+#: Most membership patterns that a flow is worked out for, on the driver; the cost is theirs, not the rows'.
+MAX_PATTERNS = 100_000
 #: Bins of a group's line of tokens.
 BINS = 4096
 
@@ -130,7 +132,10 @@ def mix(docs: DataFrame, targets: list[Target], seed: int = 17) -> tuple[DataFra
     wanted = [t.source for t in targets]
     names = F.array(*[F.lit(w) for w in wanted]) if wanted else F.array().cast("array<string>")
     member = docs.where("tokens > 0").select("id", F.array_sort(F.array_intersect("sources", names)).alias("members"), "tokens").where(F.size("members") > 0)
-    sizes = {tuple(r["members"]): r["size"] for r in member.groupBy("members").agg(F.sum("tokens").alias("size")).collect()}
+    patterns = stage(member.groupBy("members").agg(F.sum("tokens").alias("size")), "patterns")
+    if patterns.count() > MAX_PATTERNS:
+        raise ValueError("documents belong to too many different sets of sources for one flow")
+    sizes = {tuple(r["members"]): r["size"] for r in patterns.collect()}
     total = sum(sizes.values())
     flows, demand, gets = route(sizes, targets, total)
 

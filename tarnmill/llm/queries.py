@@ -9,16 +9,18 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import skew_join
 from ..sources.tables import table
 from ..staging import stage
 from . import cooccurrence, distinctive, mixing, reading, runs, subsequences, term_counts, tokenizer
-from .logs import clean_log_rows, staged_clean_rows
+from .logs import clean_log_rows, loose_rows, staged_clean_rows
 
 
 def _grams(spark: SparkSession, d: str, max_n: int = 3) -> tuple[DataFrame, int]:
     rows = table(spark, d, "log_rows")
-    seq = staged_clean_rows(rows)
-    return term_counts.gram_counts(seq, max_n, term_counts.raw_term_rows(rows)), seq.select("host_id").distinct().count()
+    seq, loose = staged_clean_rows(rows), loose_rows(rows)
+    hosts = seq.select("host_id").unionByName(loose.select("host_id")).distinct().count()
+    return term_counts.gram_counts(seq, max_n, term_counts.raw_term_rows(rows), loose), hosts
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,11 +64,14 @@ def p3_subsequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.term_weights(clean_log_rows(table(spark, d, "log_rows")))
+    rows = table(spark, d, "log_rows")
+    return distinctive.term_weights(clean_log_rows(rows).select("host_id", "log").unionByName(loose_rows(rows)))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _weights(spark, d).where((F.col("records") >= 2) & (F.round("weight", 6) >= 0.5)).select("host_id", "log")
+    """The case is defined by the weight, which no bound on the ratio gives (README); the ratio is
+    worked out for every row and leaves none out."""
+    return _weights(spark, d).where((F.col("llr") >= 0) & (F.col("records") >= 2) & (F.round("weight", 6) >= 0.5)).select("host_id", "log")
 
 
 def p4_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -89,15 +94,19 @@ def p8_counts(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.count_tokens(table(spark, d, "documents"), keep=["doc_id"])
 
 
-def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """(id, family, source, tokens), staged; blank texts have no tokens."""
     docs = table(spark, d, "documents").withColumn("text", F.when(F.col("text").rlike(r"[^\s\p{Z}]"), F.col("text")))
-    sized = stage(
-        tokenizer.count_tokens(docs, keep=["doc_id", "source"]).select(
-            F.col("doc_id").alias("id"), F.array_compact(F.array(mixing.plain_source(F.col("source")))).alias("sources"), "tokens"
-        ),
-        "sizes",
-    )
-    return mixing.mix(sized, mixing.read_targets(table(spark, d, "mix_targets")))
+    sized = tokenizer.count_tokens(docs, keep=["doc_id", "family_id", "source"])
+    return stage(sized.select(F.col("doc_id").alias("id"), F.col("family_id").alias("family"), mixing.plain_source(F.col("source")).alias("source"), "tokens"), "sizes")
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The documents chosen, staged, and the report of the mixture, shares reached included."""
+    sized = _sized(spark, d).select("id", F.array_compact(F.array("source")).alias("sources"), "tokens")
+    chosen, report = mixing.mix(sized, mixing.read_targets(table(spark, d, "mix_targets")))
+    chosen = stage(chosen, "chosen")
+    return chosen, mixing.with_reached(chosen, report)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +118,19 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    chosen, report = _mixed(spark, d)
+    return _mixed(spark, d)[1]
+
+
+def p9_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a mixture in which a document belongs to the wanted sources of all its family."""
+    targets = mixing.read_targets(table(spark, d, "mix_targets"))
+    sized = _sized(spark, d)
+    wanted = sized.where(F.col("source").isin([t.source for t in targets]))
+    # At most as many sources as there are targets, merged before the shuffle.
+    of_family = wanted.where("family is not null").groupBy("family").agg(F.collect_set("source").alias("sources"))
+    joined = skew_join(sized, of_family, ["family"], "left")
+    sources = F.coalesce("sources", F.array_compact(F.array("source")))
+    chosen, report = mixing.mix(stage(joined.select("id", sources.alias("sources"), "tokens"), "memberships"), targets)
     return mixing.with_reached(stage(chosen, "chosen"), report)
 
 
@@ -126,7 +147,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = ("p1_found p1_terms p2_found p2_pairs p3_found p3_subsequences p4_found p4_weights p7_found p7_runs p8_ids p8_counts p9_found p9_mix p9_report p10_found p10_levels").split()
+    names = ("p1_found p1_terms p2_found p2_pairs p3_found p3_subsequences p4_found p4_weights p7_found p7_runs p8_ids p8_counts p9_found p9_mix p9_report p9_overlap p10_found p10_levels").split()
     return {n: globals()[n] for n in names}
 
 
@@ -134,14 +155,15 @@ _SEQ = """
 clean as (select host_id, pos, row_id, trim(split_part(split_part(lower(log), '#', 1), '[', 1)) as log, ts, log is null as gone
           from log_rows where host_id is not null and pos is not null
           qualify row_number() over (partition by host_id, pos order by row_id nulls first) = 1),
+loose as (select host_id, trim(split_part(split_part(lower(log), '#', 1), '[', 1)) as log from log_rows where host_id is not null and pos is null and log is not null),
 seq as (select host_id, pos, log, ts, row_number() over (partition by host_id order by pos) as rn from clean where not gone and log <> '')
 """
 _GRAMS = f"""with {_SEQ},
 next as (select host_id, log as t0, lead(log, 1) over w as t1, lead(log, 2) over w as t2 from seq window w as (partition by host_id order by pos)),
-grams as (select host_id, t0 as gram, 1 as n, t0 as log from next
+grams as (select host_id, t0 as gram, 1 as n, t0 as log from next union all select host_id, log, 1, log from loose where log <> ''
           union all select host_id, concat(t0, '|', t1), 2, null from next where t1 is not null
           union all select host_id, concat(t0, '|', t1, '|', t2), 3, null from next where t2 is not null),
-h as (select count(distinct host_id) as hosts from seq),
+h as (select count(distinct host_id) as hosts from grams),
 c as (select gram, n, count(*) as total, count(distinct host_id) as records, any_value(hosts) as hosts from grams, h group by gram, n)
 """
 _ITEMS = """with items as (select distinct txn, lower(trim(item)) as item from txn_items where txn is not null and trim(item) <> ''),
@@ -164,7 +186,7 @@ three as (select ab.a, ab.b, c.log as c, count(distinct ab.host_id) as hosts fro
 
 
 _WEIGHTS = f"""with {_SEQ},
-c as (select host_id, log, count(*) as n from seq group by 1, 2),
+c as (select host_id, log, count(*) as n from (select host_id, log from seq union all select host_id, log from loose where log <> '') group by 1, 2),
 t as (select log, count(*) as records, sum(n) as term_total from c group by 1),
 h as (select host_id, sum(n) as record_total from c group by 1),
 g as (select count(*) as hosts, sum(record_total) as every from h),
@@ -175,7 +197,7 @@ y as (select *, r - k11 as k12, t - k11 as k21, e - r - t + k11 as k22, w / sqrt
 _RUNS = f"""with {_SEQ},
 m as (select *, case when log = lag(log) over (partition by host_id order by pos) then 0 else 1 end as first from seq),
 g as (select *, sum(first) over (partition by host_id order by pos) as run from m),
-r as (select host_id, min(pos) as start_pos, max(pos) as end_pos, min(log) as log, count(*) as n, min(ts) as first_ts, max(ts) as last_ts from g group by host_id, run)
+r as (select host_id, min(pos) as start_pos, max(pos) as end_pos, min(log) as log, count(*) as n, min(ts) as first_ts, max(ts) as last_ts, date_diff('microsecond', min(ts), max(ts)) / 1e6 as duration from g group by host_id, run)
 """
 
 
@@ -187,7 +209,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_terms": _GRAMS + "select gram, n, total, records, records < 3 as too_rare, records > 0.6 * hosts as too_common from c",
         "p2_found": _ITEMS + "select item_a, item_b from pairs where n_ab >= 5 and n_ab >= 0.005 * n and n_ab * n >= 3 * n_a * n_b",
         "p2_pairs": _ITEMS + """select item_a, item_b, n_a, n_b, n_ab, round(lift, 6) as lift, round(log2(lift), 6) as pmi,
-            round(case when n_ab >= n then 1 else log2(lift) / -log2(n_ab / (n * 1e0)) end, 6) as npmi, round(n_ab / (n_a + n_b - n_ab * 1e0), 6) as jaccard from pairs where n_ab >= 5""",
+            round(case when n_ab >= n then 1 else log2(lift) / -log2(n_ab / (n * 1e0)) end, 6) as npmi, round(n_ab / (n_a + n_b - n_ab * 1e0), 6) as jaccard from pairs""",
         "p3_found": _sub("0.1") + "select a as step1, b as step2, c as step3 from three, h where hosts >= least",
         "p3_subsequences": _sub("0.05") + """select concat(a, '>', b) as steps, 2 as n, hosts from two, h where hosts >= least
             union all select concat(a, '>', b, '>', c), 3, hosts from three, h where hosts >= least""",

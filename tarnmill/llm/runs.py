@@ -42,10 +42,10 @@ def double_pointers(links: DataFrame) -> DataFrame:
 
 
 def runs(seq: DataFrame, min_length: int = 1) -> DataFrame:
-    """(host_id, start_pos, end_pos, log, n, first_ts, last_ts): the longest runs of rows with equal
-    logs, of at least `min_length` rows. `seq` is staged (host_id, block, pos, log, ts).
+    """(host_id, start_pos, end_pos, log, n, first_ts, last_ts, duration): the longest runs of rows with
+    equal logs, of at least `min_length` rows. `seq` is staged (host_id, block, pos, log, ts).
 
-    first_ts and last_ts are the earliest and the latest known ts of the run, null if none is known
+    duration is the seconds from first_ts to last_ts, 0 for a row alone with a ts. first_ts and last_ts are the earliest and the latest known ts of the run, null if none is known
     (rows of a run may come with skewed clocks). A host with one row has one run. An empty table
     gives none.
     """
@@ -59,11 +59,11 @@ def runs(seq: DataFrame, min_length: int = 1) -> DataFrame:
         F.greatest(F.max("ts"), F.max("to_ts")).alias("last_ts"),
     )
     if min_length > 1:
-        return long.where(F.col("n") >= min_length).select("host_id", "start_pos", "end_pos", "log", "n", "first_ts", "last_ts")
+        return _with_duration(long.where(F.col("n") >= min_length).select("host_id", "start_pos", "end_pos", "log", "n", "first_ts", "last_ts"))
     starts = seq.select("host_id", F.col("pos").alias("start_pos"), "log", "ts").join(
         links.select("host_id", F.col("pos").alias("start_pos")), ["host_id", "start_pos"], "left_anti"
     )
-    return starts.join(long.drop("log"), ["host_id", "start_pos"], "left").select(
+    every = starts.join(long.drop("log"), ["host_id", "start_pos"], "left").select(
         "host_id",
         "start_pos",
         F.coalesce("end_pos", "start_pos").alias("end_pos"),
@@ -72,3 +72,9 @@ def runs(seq: DataFrame, min_length: int = 1) -> DataFrame:
         F.when(F.col("n").isNull(), F.col("ts")).otherwise(F.col("first_ts")).alias("first_ts"),
         F.when(F.col("n").isNull(), F.col("ts")).otherwise(F.col("last_ts")).alias("last_ts"),
     )
+    return _with_duration(every)
+
+
+def _with_duration(found: DataFrame) -> DataFrame:
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return found.withColumn("duration", (micros("last_ts") - micros("first_ts")) / F.lit(1e6))

@@ -6,12 +6,16 @@ gives the counts and record sets of all their prefixes: when the next suffix no
 prefix, that prefix is complete, is given out, and passes its count and records to the one below.
 
 A first term that holds a large share of all rows is spread by a hash of the record, so record sets
-of its parts are disjoint and its counts add up exactly.
+of its parts are disjoint and its counts add up exactly. A record that holds a large share of all rows
+is spread as well, by a hash of the suffix. Such a record's suffixes are counted apart, under its own
+label: each part gives 0 or 1 record, of which the greatest counts, so its parts add up exactly too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from ..staging import shuffle_partitions
 from .logs import hot_salts, plain_log, with_following
 
-_OUT = "gram array<string>, total bigint, records bigint"
+_OUT = "gram array<string>, total bigint, records bigint, label string"
 
 
 def prefixes_by_stack(rows: Iterator[tuple], max_n: int) -> Iterator[tuple[tuple, int, int]]:
@@ -61,44 +65,47 @@ def prefixes_by_stack(rows: Iterator[tuple], max_n: int) -> Iterator[tuple[tuple
 
 def _count_partition(max_n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, totals, recs, labels = [], [], [], []
+
         def rows():
             for b in batches:
                 cols = [b.column(i).to_pylist() for i in range(max_n)]
-                hosts, ns = b.column(max_n).to_pylist(), b.column(max_n + 1).to_pylist()
-                if max_n == 1:
-                    yield from zip(zip(cols[0]), hosts, ns)
-                    continue
-                for suffix, host, n in zip(zip(*cols), hosts, ns):
+                hosts, ns, marks = (b.column(max_n + i).to_pylist() for i in range(3))
+                suffixes = zip(*cols)
+                for suffix, host, n, mark in zip(suffixes, hosts, ns, marks):
                     if suffix[-1] is None:
                         suffix = tuple(x for x in suffix if x is not None)
-                    yield suffix, host, n
-
-        grams, totals, recs = [], [], []
-        for g, c, r in prefixes_by_stack(rows(), max_n):
-            grams.append(g)
-            totals.append(c)
-            recs.append(r)
-            if len(grams) == 20_000:
-                yield _batch(grams, totals, recs)
-                grams, totals, recs = [], [], []
-        yield _batch(grams, totals, recs)
+                    yield mark, suffix, host, n
+
+        # Rows come label by label, so each label has a stack of its own.
+        for mark, group in groupby(rows(), itemgetter(0)):
+            for g, c, r in prefixes_by_stack((x[1:] for x in group), max_n):
+                grams.append(g)
+                totals.append(c)
+                recs.append(r)
+                labels.append(mark)
+                if len(grams) == 20_000:
+                    yield _batch(grams, totals, recs, labels)
+                    grams, totals, recs, labels = [], [], [], []
+        yield _batch(grams, totals, recs, labels)
 
     return run
 
 
-def _batch(grams, totals, recs) -> pa.RecordBatch:
+def _batch(grams, totals, recs, labels) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(grams, pa.list_(pa.string())), pa.array(totals, pa.int64()), pa.array(recs, pa.int64())], names=["gram", "total", "records"]
+        [pa.array(grams, pa.list_(pa.string())), pa.array(totals, pa.int64()), pa.array(recs, pa.int64()), pa.array(labels, pa.string())], names=["gram", "total", "records", "label"]
     )
 
 
-def gram_counts(seq: DataFrame, max_n: int = 1, term_rows: DataFrame | None = None) -> DataFrame:
+def gram_counts(seq: DataFrame, max_n: int = 1, term_rows: DataFrame | None = None, loose: DataFrame | None = None) -> DataFrame:
     """(gram, n, total, records): count and number of hosts of every n-gram of 1 to max_n terms.
 
     `seq` is staged (host_id, block, pos, log). `term_rows` (log, total) are rough counts of single
     terms, from which hot first terms are found; without them they are counted from `seq`. They only
-    steer the spreading, never a result. An empty table gives no rows; n-grams never reach over the
-    end of a host's sequence, so a host with fewer terms gives only shorter ones.
+    steer the spreading, never a result. `loose` (host_id, log) are occurrences without a place, which
+    count as single terms only. An empty table gives no rows; n-grams never reach over the end of a
+    host's sequence, so a host with fewer terms gives only shorter ones.
     """
     spark = seq.sparkSession
     seq = seq.select("host_id", "block", "pos", "log")
@@ -108,20 +115,28 @@ def gram_counts(seq: DataFrame, max_n: int = 1, term_rows: DataFrame | None = No
         suffixes = nxt.select("host_id", "block", F.col("log").alias("t0"), *[F.get(F.col("nexts")["log"], i - 1).alias(f"t{i}") for i in range(1, max_n)])
     else:
         suffixes = seq.select("host_id", "block", F.col("log").alias("t0"))
+    if loose is not None:
+        suffixes = suffixes.unionByName(loose.select("host_id", F.lit(-1).alias("block"), F.col("log").alias("t0")), allowMissingColumns=True)
     if term_rows is None:
         term_rows = seq.groupBy("log").agg(F.count("*").alias("total"))
     salts = hot_salts(term_rows, "log", "total")
+    hosts = hot_salts(seq.groupBy("host_id").agg(F.count("*").alias("total")), "host_id", "total").select("host_id", F.col("salts").alias("host_salts"))
     merged = suffixes.groupBy("host_id", "block", *terms).agg(F.count("*").alias("n"))
+    own = F.col("host_salts").isNotNull()
     routed = (
         merged.join(F.broadcast(salts), merged["t0"] == salts["log"], "left")
-        .withColumn("salt", F.pmod(F.xxhash64("host_id"), F.coalesce("salts", F.lit(1))))
-        .repartition(shuffle_partitions(spark), "t0", "salt")
-        .sortWithinPartitions(*[F.desc_nulls_last(t) for t in terms])
-        .select(*terms, "host_id", "n")
+        .join(F.broadcast(hosts), "host_id", "left")
+        .withColumn("label", F.when(own, F.col("host_id")))
+        .withColumn("salt", F.when(own, F.pmod(F.xxhash64(*terms), F.col("host_salts"))).otherwise(F.pmod(F.xxhash64("host_id"), F.coalesce("salts", F.lit(1)))))
+        .repartition(shuffle_partitions(spark), "t0", "label", "salt")
+        .sortWithinPartitions("label", *[F.desc_nulls_last(t) for t in terms])
+        .select(*terms, "host_id", "n", "label")
     )
     parts = routed.mapInArrow(_count_partition(max_n), _OUT)
+    # Without label the parts' records are disjoint; those of one label are the same record.
+    apart = parts.groupBy("gram", "label").agg(F.sum("total").alias("total"), F.when(F.col("label").isNull(), F.sum("records")).otherwise(F.max("records")).alias("records"))
     return (
-        parts.groupBy("gram")
+        apart.groupBy("gram")
         .agg(F.sum("total").alias("total"), F.sum("records").alias("records"))
         .select("gram", F.size("gram").alias("n"), "total", "records")
     )
