@@ -4,17 +4,23 @@ For each first step, the windows that follow its occurrences are stored as one s
 acyclic graph: a node stands for what is left of a window, equal remainders are one node, and an
 edge leads over a term to the node after it. A node's weight is the set of hosts that reach it.
 Mining pushes conditional diagrams: the nodes behind prefix + term, with the hosts of equal nodes
-merged; the edges of a node are worked out once, however many prefixes reach it.
+merged. The edges of a node are worked out once, however many prefixes reach it, and so is the
+conditional diagram of a set of nodes.
 
 Before that, terms and first pairs that can't reach the support are left out by counts that are
 never below it (all occurrences of a term; (host, block) pairs of a pair), so nothing frequent is
 lost.
+
+A first step that holds a large share of all rows is spread over tasks by host. A pattern on at least
+`least` hosts is on at least least / tasks hosts of one of them, so each task gives the patterns that
+reach this, and a second pass counts just those in all tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import groupby
 from math import ceil
 
 import pyarrow as pa
@@ -22,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.indexing import number_rows
+from ..operators.skew import skew_join
 from ..staging import shuffle_partitions, small, stage
 from .logs import hot_salts, with_following
 
@@ -36,6 +43,7 @@ class Diagram:
         self.gap, self.steps, self.distinct = gap, steps, distinct
         self.roots: dict[tuple, set] = {}
         self._edges: dict[tuple[int, tuple], dict[int, list[tuple]]] = {}
+        self._behind: dict[tuple[int, frozenset], dict[int, dict[tuple, list[tuple]]]] = {}
 
     def add(self, window: tuple, host) -> None:
         self.roots.setdefault(window[: self.gap * self.steps], set()).add(host)
@@ -55,49 +63,65 @@ class Diagram:
                         nodes.append(child)
         return out
 
+    def behind(self, left: int, nodes: frozenset) -> dict[int, dict[tuple, list[tuple]]]:
+        """Term -> nodes behind it -> those of `nodes` that lead there."""
+        key = (left, nodes)
+        out = self._behind.get(key)
+        if out is None:
+            out = self._behind[key] = {}
+            for node in nodes:
+                for term, children in self.edges(left, node).items():
+                    to = out.setdefault(term, {})
+                    for child in children:
+                        to.setdefault(child, []).append(node)
+        return out
+
     def patterns(self, first: int, seconds: set[int], least: int) -> Iterator[tuple[list[int], int]]:
         """(steps, number of hosts) of 2 to steps + 1 steps; the second step is one of `seconds`."""
-        yield from self._mine([first], self.roots, self.steps, seconds, least)
-
-    def _mine(self, prefix, weights, left, allowed, least):
-        conditional: dict[int, dict[tuple, set]] = {}
-        for node, hosts in weights.items():
-            for term, nodes in self.edges(left, node).items():
-                if (allowed is None or term in allowed) and not (self.distinct and term in prefix):
-                    behind = conditional.setdefault(term, {})
-                    for child in nodes:
-                        if child in behind:
-                            behind[child] |= hosts
-                        else:
-                            behind[child] = set(hosts)
-        for term, behind in conditional.items():
-            support = len(set().union(*behind.values()))
+        yield from self._mine((first,), self.roots, self.steps, {(first,): seconds}, False, least)
+
+    def supports(self, first: int, wanted: list[list[int]]) -> Iterator[tuple[list[int], int]]:
+        """(steps, number of hosts) of the wanted patterns that any host has."""
+        after: dict[tuple, set[int]] = {}
+        for p in wanted:
+            for i in range(1, len(p)):
+                after.setdefault(tuple(p[:i]), set()).add(p[i])
+        exact = set(map(tuple, wanted))
+        yield from (x for x in self._mine((first,), self.roots, self.steps, after, True, 1) if tuple(x[0]) in exact)
+
+    def _mine(self, prefix, weights, left, after, only, least):
+        allowed = after.get(prefix, () if only else None)
+        for term, children in self.behind(left, frozenset(weights)).items():
+            if (allowed is not None and term not in allowed) or (self.distinct and term in prefix):
+                continue
+            reached = {child: set().union(*(weights[n] for n in nodes)) for child, nodes in children.items()}
+            support = len(set().union(*reached.values()))
             if support >= least:
-                yield prefix + [term], support
+                longer = (*prefix, term)
+                yield list(longer), support
                 if left > 1:
-                    yield from self._mine(prefix + [term], behind, left - 1, None, least)
+                    yield from self._mine(longer, reached, left - 1, after, only, least)
 
 
 def _mine_partition(gap: int, steps: int, distinct: bool, least: int):
+    """Rows (code, salt, salts, host, window, seconds, wanted) come by (code, salt), the one with the
+    second steps, or with the wanted patterns, before the windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, diagram, seconds, whole = None, None, set(), False
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(7))))
         found: list[tuple[list[int], int]] = []
-
-        def close():
-            if diagram is not None:
-                # A first step spread over tasks has its supports added up later, so none is cut here.
-                found.extend(diagram.patterns(now, seconds, least if whole else 1))
-
-        for b in batches:
-            for code, host, window, after, salts in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if code != now:
-                    close()
-                    now, diagram, seconds, whole = code, Diagram(gap, steps, distinct), set(after), salts == 1
-                diagram.add(tuple(window), host)
-            if len(found) > 20_000:
-                yield _batch(found)
-                found = []
-        close()
+        for (code, _), part in groupby(rows, lambda r: r[:2]):
+            diagram, seconds, wanted, parts = Diagram(gap, steps, distinct), (), None, 1
+            for _, _, salts, host, window, second, want in part:
+                if window is None:
+                    seconds, wanted, parts = set(second or ()), want, salts
+                else:
+                    diagram.add(tuple(window), host)
+            for p in diagram.patterns(code, seconds, -(-least // parts)) if wanted is None else diagram.supports(code, wanted):
+                found.append(p)
+                if len(found) == 20_000:
+                    yield _batch(found)
+                    found = []
         yield _batch(found)
 
     return run
@@ -149,19 +173,31 @@ def frequent_subsequences(
         pairs = pairs.where("code != after")
     seconds = stage(pairs.groupBy("code").agg(F.collect_list("after").alias("after")), "pairs")
     n_pairs = seconds.agg(F.sum(F.size("after"))).first()[0] or 0
-    routed = (
-        windows.join(small(seconds, n_pairs, 16), "code")
-        .where(F.arrays_overlap(F.slice("window", 1, max_gap), "after"))
-        .join(F.broadcast(salts), "code", "left")
-        .select("code", "host_id", "window", "after", F.coalesce("salts", F.lit(1)).alias("salts"))
-        .withColumn("salt", F.pmod(F.xxhash64("host_id"), F.col("salts")))
-        .repartition(parts, "code", "salt")
-        .sortWithinPartitions("code")
-        .select("code", "host_id", "window", "after", "salts")
-    )
+    one = small(seconds, n_pairs, 16)
+    joined = windows.join(one, "code") if one is not seconds else skew_join(windows, seconds, ["code"])
+    useful = joined.where(F.arrays_overlap(F.slice("window", 1, max_gap), "after")).select("code", "host_id", "window")
+
+    def mined(rows: DataFrame, heads: DataFrame) -> DataFrame:
+        """Windows, and the one row of each step that steers its mining, sent to all its tasks once."""
+        spread = lambda df: df.join(F.broadcast(salts), "code", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        own = spread(rows).withColumn("salt", F.pmod(F.xxhash64("host_id"), F.col("salts")).cast("int"))
+        head = spread(heads).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        both = own.unionByName(head, allowMissingColumns=True).select("code", "salt", "salts", "host_id", "window", "seconds", "wanted")
+        routed = both.repartition(parts, "code", "salt").sortWithinPartitions("code", "salt", F.col("window").isNotNull())
+        return routed.mapInArrow(_mine_partition(max_gap, steps - 1, distinct, least), _OUT)
+
+    no_pattern = F.lit(None).cast("array<array<int>>")
+    first = mined(useful, seconds.select("code", F.col("after").alias("seconds"), no_pattern.alias("wanted")))
+    hot = {r["code"] for r in salts.collect()}  # at most 2 x partitions
+    if hot:
+        first = stage(first, "patterns")
+        is_hot = lambda c: c.isin(list(hot))
+        candidates = first.where(is_hot(F.col("steps")[0])).select("steps").distinct()
+        wanted = candidates.groupBy(F.col("steps")[0].alias("code")).agg(F.collect_list("steps").alias("wanted"))
+        again = mined(useful.where(is_hot(F.col("code"))), wanted.select("code", F.lit(None).cast("array<int>").alias("seconds"), "wanted"))
+        first = first.where(~is_hot(F.col("steps")[0])).unionByName(again)
     found = (
-        routed.mapInArrow(_mine_partition(max_gap, steps - 1, distinct, least), _OUT)
-        .groupBy("steps")
+        first.groupBy("steps")
         .agg(F.sum("hosts").alias("hosts"))
         .where(F.col("hosts") >= least)
         .select(F.monotonically_increasing_id().alias("id"), "steps", "hosts")
