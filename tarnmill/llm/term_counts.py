@@ -115,13 +115,14 @@ def gram_counts(seq: DataFrame, max_n: int = 1, term_rows: DataFrame | None = No
         suffixes = nxt.select("host_id", "block", F.col("log").alias("t0"), *[F.get(F.col("nexts")["log"], i - 1).alias(f"t{i}") for i in range(1, max_n)])
     else:
         suffixes = seq.select("host_id", "block", F.col("log").alias("t0"))
-    if loose is not None:
-        suffixes = suffixes.unionByName(loose.select("host_id", F.lit(-1).alias("block"), F.col("log").alias("t0")), allowMissingColumns=True)
     if term_rows is None:
         term_rows = seq.groupBy("log").agg(F.count("*").alias("total"))
     salts = hot_salts(term_rows, "log", "total")
     hosts = hot_salts(seq.groupBy("host_id").agg(F.count("*").alias("total")), "host_id", "total").select("host_id", F.col("salts").alias("host_salts"))
-    merged = suffixes.groupBy("host_id", "block", *terms).agg(F.count("*").alias("n"))
+    # Suffixes lie by (host_id, block) already, so these are merged where they are.
+    merged = suffixes.groupBy("host_id", "block", *terms).agg(F.count("*").alias("n")).drop("block")
+    if loose is not None:
+        merged = merged.unionByName(loose.groupBy("host_id", F.col("log").alias("t0")).agg(F.count("*").alias("n")), allowMissingColumns=True)
     own = F.col("host_salts").isNotNull()
     routed = (
         merged.join(F.broadcast(salts), merged["t0"] == salts["log"], "left")
