@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import drop_staged, stage
+from .stats import modes, quantiles
 
 
 def _array(values) -> Column:
@@ -43,12 +44,13 @@ def init_centroids(df: DataFrame, key: str, vector: str, k: int = 3, seed: int =
 
 def _update(assigned: DataFrame, old: list[list[float]], kind: str) -> list[list[float]]:
     dims = assigned.select("cluster", F.posexplode("vec").alias("dim", "v"))
-    value = F.mode("v", True) if kind == "mode" else F.percentile("v", F.lit(0.5))
+    key = ["cluster", "dim"]
+    found = modes(dims, "v", key) if kind == "mode" else quantiles(dims, "v", [0.5], key).select(*key, F.col("q")[0].alias("value"))
     new = [list(c) for c in old]
-    for r in dims.groupBy("cluster", "dim").agg(value.alias("v")).collect():  # k x dimensions rows
-        new[r["cluster"]][r["dim"]] = float(r["v"])
+    for r in found.collect():  # k x dimensions rows
+        new[r["cluster"]][r["dim"]] = float(r["value"])
     if len({tuple(c) for c in new}) < len(new):
-        raise ValueError("Two centroids have merged")
+        raise ValueError("clusters collapsed: equal centroids after an update")
     return new
 
 

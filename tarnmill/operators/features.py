@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..staging import stage
 from .indexing import number_rows
+from .skew import skew_join
 from .sequences import ngrams
 
 CONST = "const"
@@ -92,7 +93,7 @@ def weights(counts: DataFrame, hosts: int, norm: str | None = "l2", use_ihf: boo
     if use_ihf:
         s = 1.0 if smooth else 0.0
         hf = counts.where("cnt > 0").groupBy("log").agg((F.log(F.lit(hosts + s) / (F.count("*") + F.lit(s))) + 1).alias("ihf"))
-        out = out.join(hf, "log").withColumn("w", F.col("lf") * F.col("ihf"))
+        out = skew_join(out, hf, ["log"]).withColumn("w", F.col("lf") * F.col("ihf"))
     else:
         out = out.withColumn("w", F.col("lf"))
     return _normalised(out, norm).select("host", "log", "value")
@@ -105,7 +106,7 @@ def _normalised(weighted: DataFrame, norm: str | None) -> DataFrame:
         return weighted.withColumn("value", F.col("w"))
     size = F.sqrt(F.sum(F.col("w") * F.col("w"))) if norm == "l2" else F.sum(F.abs("w"))
     sizes = weighted.groupBy("host").agg(size.alias("size"))
-    return weighted.join(sizes, "host").withColumn("value", F.when(F.col("size") > 0, F.col("w") / F.col("size")).otherwise(0.0))
+    return skew_join(weighted, sizes, ["host"]).withColumn("value", F.when(F.col("size") > 0, F.col("w") / F.col("size")).otherwise(0.0))
 
 
 class LogVectorizer:

@@ -10,9 +10,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import drop_staged, stage
 from .sequences import following
 
 SOS, EOS = "<SOS>", "<EOS>"
@@ -27,9 +28,11 @@ def transition_counts(seq: DataFrame) -> DataFrame:
 
 
 def extend(counts: DataFrame, more: DataFrame) -> DataFrame:
-    """Counts of both; new states come in by themselves."""
-    keys = [c for c in counts.columns if c != "cnt"]
-    return counts.unionByName(more).groupBy(*keys).agg(F.sum("cnt").alias("cnt"))
+    """Counts of both; new states come in by themselves. Works on tables of (state, next, cnt) and of
+    starts (state, cnt); other columns, such as probabilities, no longer hold and are left out."""
+    keys = [c for c in ("state", "next") if c in counts.columns]
+    both = counts.select(*keys, "cnt").unionByName(more.select(*keys, "cnt"))
+    return both.groupBy(*keys).agg(F.sum("cnt").alias("cnt"))
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
@@ -45,19 +48,34 @@ def subsequent_probability(probs: DataFrame, state) -> DataFrame:
     return probs.where((F.col("state") == value) & (F.col("prob") > 0)).select("next", "prob")
 
 
+def _score(steps: DataFrame) -> DataFrame:
+    """(host, steps, log_prob, prob) of (host, times, prob)."""
+    unseen = F.count(F.when(F.coalesce("prob", F.lit(0.0)) <= 0, 1))
+    logs = F.sum(F.col("times") * F.log("prob"))
+    out = steps.groupBy("host").agg(F.sum("times").alias("steps"), F.when(unseen == 0, logs).alias("log_prob"))
+    return out.withColumn("prob", F.coalesce(F.exp("log_prob"), F.lit(0.0)))
+
+
+def sequence_steps(seq: DataFrame, probs: DataFrame, start: bool = True) -> DataFrame:
+    """(host, step, state, next, prob): each transition of each host's sequence, step 0 from SOS and the
+    last to EOS; prob is 0 for a transition that the model lacks."""
+    f = following(seq, 1, ["log"])
+    pairs = f.select("host", F.col("pos").alias("step"), F.col("log").alias("state"), F.coalesce(F.col("next1.log"), F.lit(EOS)).alias("next"))
+    if start:
+        pairs = pairs.unionByName(seq.where("pos = 1").select("host", F.lit(0).alias("step"), F.lit(SOS).alias("state"), F.col("log").alias("next")))
+    return pairs.join(probs.select("state", "next", "prob"), ["state", "next"], "left").select("host", "step", "state", "next", F.coalesce("prob", F.lit(0.0)).alias("prob"))
+
+
 def sequence_probability(seq: DataFrame, probs: DataFrame, start: bool = True) -> DataFrame:
     """(host, steps, log_prob, prob) of each host's sequence under a first-order model. A transition
-    that the model lacks makes prob 0 and log_prob null. Sums of logarithms, so no underflow there."""
+    that the model lacks makes prob 0 and log_prob null. Sums of logarithms, so no underflow there.
+    Equal transitions of a host are merged before the model is joined."""
     f = following(seq, 1, ["log"])
     pairs = f.select("host", F.col("log").alias("state"), F.coalesce(F.col("next1.log"), F.lit(EOS)).alias("next"))
     if start:
         pairs = pairs.unionByName(seq.where("pos = 1").select("host", F.lit(SOS).alias("state"), F.col("log").alias("next")))
     used = pairs.groupBy("host", "state", "next").agg(F.count("*").alias("times"))
-    scored = used.join(probs.select("state", "next", "prob"), ["state", "next"], "left")
-    unseen = F.count(F.when(F.coalesce("prob", F.lit(0.0)) <= 0, 1))
-    logs = F.sum(F.col("times") * F.log("prob"))
-    out = scored.groupBy("host").agg(F.sum("times").alias("steps"), F.when(unseen == 0, logs).alias("log_prob"))
-    return out.withColumn("prob", F.coalesce(F.exp("log_prob"), F.lit(0.0)))
+    return _score(used.join(probs.select("state", "next", "prob"), ["state", "next"], "left"))
 
 
 def order_counts(seq: DataFrame, order: int = 2) -> DataFrame:
@@ -71,30 +89,43 @@ def order_counts(seq: DataFrame, order: int = 2) -> DataFrame:
     return whole.groupBy(F.array(*items).alias("state"), F.coalesce(F.col(f"next{order}.log"), F.lit(EOS)).alias("next")).agg(F.count("*").alias("cnt"))
 
 
-def start_probabilities(seq: DataFrame, order: int = 2) -> DataFrame:
-    """(state array<string>, cnt, prob): the first `order` items of the sequences that have so many."""
+def start_counts(seq: DataFrame, order: int = 2) -> DataFrame:
+    """(state array<string>, cnt): the first `order` items of the sequences that have so many."""
     first = following(seq.where(F.col("pos") <= order), order, ["log"]).where("pos = 1")
     if order > 1:
         first = first.where(F.col(f"next{order - 1}").isNotNull())
     state = F.array("log", *[F.col(f"next{j}.log") for j in range(1, order)])
-    counts = first.groupBy(state.alias("state")).agg(F.count("*").alias("cnt"))
+    return first.groupBy(state.alias("state")).agg(F.count("*").alias("cnt"))
+
+
+def start_shares(counts: DataFrame) -> DataFrame:
+    """(state, cnt, prob) of start counts, of one fit or extended."""
     return counts.select("state", "cnt", (F.col("cnt").cast("double") / counts.agg(F.sum("cnt")).scalar()).alias("prob"))
 
 
-def order_sequence_probability(seq: DataFrame, probs: DataFrame, starts: DataFrame, order: int = 2) -> DataFrame:
-    """(host, log_prob, prob) of the sequences with at least `order` items: start times all steps. A
-    start or step that the model lacks makes prob 0 and log_prob null. Sums of logarithms, so no
-    underflow there."""
+def start_probabilities(seq: DataFrame, order: int = 2) -> DataFrame:
+    """(state array<string>, cnt, prob): shares of the first `order` items of the sequences."""
+    return start_shares(start_counts(seq, order))
+
+
+def order_sequence_steps(seq: DataFrame, probs: DataFrame, starts: DataFrame | None, order: int = 2) -> DataFrame:
+    """(host, step, prob): the start (step 0, left out without `starts`) and each step of the sequences
+    with at least `order` items; prob is 0 for what the model lacks."""
     f = following(seq, order, ["log"])
     items = [F.col("log")] + [F.col(f"next{j}.log") for j in range(1, order)]
     whole = f if order == 1 else f.where(F.col(f"next{order - 1}").isNotNull())
     steps = whole.select("host", "pos", F.array(*items).alias("state"), F.coalesce(F.col(f"next{order}.log"), F.lit(EOS)).alias("next"))
-    first = steps.where("pos = 1").join(starts.select("state", "prob"), "state", "left").select("host", "prob")
-    rest = steps.join(probs.select("state", "next", "prob"), ["state", "next"], "left").select("host", "prob")
-    both = first.unionByName(rest)
-    unseen = F.count(F.when(F.coalesce("prob", F.lit(0.0)) <= 0, 1))
-    out = both.groupBy("host").agg(F.when(unseen == 0, F.sum(F.log("prob"))).alias("log_prob"))
-    return out.withColumn("prob", F.coalesce(F.exp("log_prob"), F.lit(0.0)))
+    rest = steps.join(probs.select("state", "next", "prob"), ["state", "next"], "left").select("host", F.col("pos").alias("step"), "prob")
+    if starts is not None:
+        rest = rest.unionByName(steps.where("pos = 1").join(starts.select("state", "prob"), "state", "left").select("host", F.lit(0).alias("step"), "prob"))
+    return rest.withColumn("prob", F.coalesce("prob", F.lit(0.0)))
+
+
+def order_sequence_probability(seq: DataFrame, probs: DataFrame, starts: DataFrame | None, order: int = 2) -> DataFrame:
+    """(host, log_prob, prob) of the sequences with at least `order` items: start (unless `starts` is
+    None) times all steps. A start or step that the model lacks makes prob 0 and log_prob null. Sums
+    of logarithms, so no underflow there."""
+    return _score(order_sequence_steps(seq, probs, starts, order).withColumn("times", F.lit(1))).drop("steps")
 
 
 def transition_matrix(counts: DataFrame, max_states: int = 5000) -> tuple[list[str], np.ndarray]:
@@ -112,16 +143,41 @@ def transition_matrix(counts: DataFrame, max_states: int = 5000) -> tuple[list[s
     return states, m
 
 
-def stationary_distribution(counts: DataFrame) -> DataFrame:
+def stationary_distribution(counts: DataFrame, max_states: int = 5000) -> DataFrame:
     """(state, prob): the dominant left eigenvector between the items, summing to 1 (the
-    distribution that is left unchanged among sequences that have not ended)."""
-    states, m = transition_matrix(counts)
+    distribution that is left unchanged among sequences that have not ended). Up to `max_states`
+    states it comes from a dense matrix, beyond from rounds over the table of transitions."""
+    if counts.select("state").distinct().limit(max_states + 1).count() > max_states:
+        return _stationary_by_rounds(counts)
+    states, m = transition_matrix(counts, max_states)
     values, vectors = np.linalg.eig(m.T)
     v = np.abs(vectors[:, int(np.argmax(values.real))].real)
     v = v / v.sum()
     return counts.sparkSession.createDataFrame(list(zip(states, map(float, v))), "state string, prob double")
 
 
+def _stationary_by_rounds(counts: DataFrame, tolerance: float = 1e-10, max_rounds: int = 2000) -> DataFrame:
+    """Power iteration by one join and one aggregate a round. Half of each round's distribution stays
+    where it is, which leaves the eigenvector as it is and makes chains that go in circles settle."""
+    steps = stage(probabilities(counts).where((F.col("state") != SOS) & (F.col("next") != EOS)).select("state", "next", F.col("prob").alias("p")), "steps")
+    states = counts.select("state").where(F.col("state") != SOS).unionByName(steps.select(F.col("next").alias("state"))).distinct()
+    now = stage(states.withColumn("prob", F.lit(1.0)), "stationary")
+    for _ in range(max_rounds):
+        total = now.agg(F.sum("prob")).first()[0] or 1.0
+        now_ = now.withColumn("prob", F.col("prob") / F.lit(total))
+        gone = steps.join(now_, "state").groupBy(F.col("next").alias("state")).agg(F.sum(F.col("p") * F.col("prob")).alias("into"))
+        nxt = stage(now_.join(gone, "state", "left").select("state", F.col("prob").alias("old"), ((F.col("prob") + F.coalesce("into", F.lit(0.0))) / 2).alias("prob")), "stationary")
+        drop_staged(now)
+        size = nxt.agg(F.sum("prob")).first()[0] or 1.0
+        change = nxt.agg(F.sum(F.abs(F.col("prob") / F.lit(size) - F.col("old")))).first()[0] or 0.0
+        now = nxt.select("state", "prob")
+        now._tarnmill_path = nxt._tarnmill_path
+        if change < tolerance:
+            break
+    total = now.agg(F.sum("prob")).first()[0] or 1.0
+    return now.select("state", (F.col("prob") / F.lit(total)).alias("prob"))
+
+
 def generate(counts: DataFrame, number: int = 1, seed: int = 0, start: str | None = None, max_len: int = 1000) -> DataFrame:
     """(host, pos, log): `number` random sequences, each ending at EOS or at max_len items. The
     transition table of the states is brought to the driver, as for `transition_matrix`."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import small, stage
+from .skew import skew_join
 
 _OCTET = r"(0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
 _IP = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
@@ -59,9 +60,12 @@ def append_network_data(rows: DataFrame, ip: str, subnets: DataFrame, attributes
     n = hit.count()
     hit = hit.join(subnets.select("cidr", "attrs").dropDuplicates(["cidr"]), "cidr")
     values = [F.col("attrs")] if attributes is None else [F.try_element_at("attrs", F.lit(a)).alias(a) for a in attributes]
-    named = hit.select(F.col("ip").alias("__ip"), "cidr", *values)
-    # A join with few addresses is no shuffle; else a frequent address is split by adaptive execution.
-    return rows.join(small(named, n, 512), rows[ip].cast("string") == named["__ip"], "left").drop("__ip")
+    named = stage(hit.select(F.col("ip").alias("__ip"), "cidr", *values), "address-values")
+    width = named.agg(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    one = small(named, n, 4 * width)
+    if one is named:  # too large to send to all: a frequent address is spread
+        return skew_join(stage(rows.withColumn("__ip", F.col(ip).cast("string")), "address-rows"), named, ["__ip"], "left").drop("__ip")
+    return rows.join(one, rows[ip].cast("string") == named["__ip"], "left").drop("__ip")
 
 
 def subnet_members(ips: DataFrame, ip: str, subnets: DataFrame) -> DataFrame:
@@ -86,11 +90,38 @@ def lookup_subnets(ips: DataFrame, ip: str, provider: Callable[[list[str]], Iter
             rows = list(provider(pdf["ip"].tolist()))
             yield pd.DataFrame({"cidr": [c for c, _ in rows], "attrs": [a for _, a in rows]})
 
-    found = todo.mapInPandas(ask, "cidr string, attrs map<string,string>").groupBy("cidr").agg(F.first("attrs").alias("attrs"))
+    found = todo.mapInPandas(ask, "cidr string, attrs map<string,string>")
+    # Of different answers for a subnet the first by its sorted text.
+    text = F.to_json(F.array_sort(F.map_entries("attrs")))
+    found = found.groupBy("cidr").agg(F.min_by("attrs", text).alias("attrs"))
     found = found.select(F.lit(1_000_000).alias("prio"), "cidr", "attrs")
     return found if known is None else known.select("prio", "cidr", "attrs").unionByName(found)
 
 
+#: Ports that are looked at unless others are named (fixed values).
+DEFAULT_PORTS = (20, 21, 22, 23, 25, 53, 80, 110, 119, 123, 139, 143, 161, 194, 443, 445, 1433, 1521, 3306, 3389, 5432, 8080, 8443)
+
+
+def port_list(ports: str | list[int] = "default") -> list[int]:
+    """The default ports, all from 1 to 65535, or the named ones; others are an error."""
+    if ports == "default":
+        return list(DEFAULT_PORTS)
+    if ports == "all":
+        return list(range(1, 65536))
+    if isinstance(ports, str) or any(isinstance(p, bool) or not isinstance(p, int) or not 1 <= p <= 65535 for p in ports):
+        raise ValueError("ports must be default, all, or whole numbers from 1 to 65535")
+    return list(ports)
+
+
+def port_status(scans: DataFrame, ports: str | list[int] = "default") -> DataFrame:
+    """(ip, port, status) of every address and every port of the list: the status seen, else null. Of
+    several the last by `scanned_at`, if it is there, else the least."""
+    wanted = scans.select("ip").where("ip is not null").distinct().select("ip", F.explode(F.array(*map(F.lit, port_list(ports)))).alias("port"))
+    last = F.max_by("status", "scanned_at") if "scanned_at" in scans.columns else F.min("status")
+    seen = scans.where("status is not null").groupBy("ip", "port").agg(last.alias("status"))
+    return wanted.join(seen, ["ip", "port"], "left")
+
+
 def port_summary(scans: DataFrame) -> DataFrame:
     """(port, connected, refused, unknown) over (ip, port, status); ports out of 1..65535 are left
     out; of several results for an address and port the last by `scanned_at` counts, if it is there."""

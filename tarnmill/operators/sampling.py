@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import stage
+from ..staging import small, stage
+from .indexing import number_rows
 
 #: Buckets that a class's rows are ranked in.
 BUCKETS = 256
@@ -48,7 +49,12 @@ def balanced_sample(df: DataFrame, stratum: str, key: str, how: str = "both", fi
     )
     if not replace:
         return ranked.where(F.col("__rank") <= size).select(*df.columns)
-    draws = sizes.withColumn("__d", F.explode(F.sequence(F.lit(1), F.lit(max(size, 1))))).where(F.lit(size) > 0)
+    # Draw d of class c is row d x classes + c of one range, which is made in parts.
+    classes = stage(number_rows(sizes, "__c", name="__no"), "classes")
+    n_classes = classes.count()
+    spark = df.sparkSession
+    slots = spark.range(size * n_classes).select((F.col("id") % max(n_classes, 1)).alias("__no"), (F.floor(F.col("id") / max(n_classes, 1)) + 1).cast("int").alias("__d"))
+    draws = slots.join(small(classes, n_classes, 64), "__no")
     draws = draws.select(F.col("__c").alias("__dc"), (F.pmod(F.xxhash64(F.lit(seed + 1), "__c", "__d"), F.col("n")) + 1).alias("__rank"))
     return ranked.join(draws, (F.col("__c") == F.col("__dc")) & (ranked["__rank"] == draws["__rank"])).select(*[ranked[c] for c in df.columns])
 

@@ -3,13 +3,55 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import stage
 from .indexing import number_rows
+from .skew import skew_join
+
+
+def counted_values(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
+    """(groups, value, n, upto, size), staged: the distinct values of each group with their counts, the
+    rows up to and with them, and all rows of the group. Nulls are left out.
+
+    Counts are merged before the shuffle; their running sums go by ranges of (group, value), so neither
+    a large group nor a column of very many values is one task.
+    """
+    groups = groups or []
+    rows = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    ranged = stage(rows.repartitionByRange(*groups, "value").withColumn("__part", F.spark_partition_id()), "value-counts")
+    parts = ranged.groupBy(*groups, "__part").agg(F.sum("n").alias("m"))
+    w = Window.partitionBy(*groups)
+    before = F.sum("m").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = parts.select(*groups, "__part", F.coalesce(before, F.lit(0)).alias("__shift"), F.sum("m").over(w).alias("size"))
+    run = F.sum("n").over(Window.partitionBy(*groups, "__part").orderBy("value"))
+    same = [F.col(f"c.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups] + [F.col("c.__part") == F.col("s.__part")]
+    placed = ranged.withColumn("__run", run).alias("c").join(shifts.alias("s"), reduce(lambda x, y: x & y, same))
+    return placed.select(*[f"c.{g}" for g in groups], "value", "n", (F.col("__run") + F.col("__shift")).alias("upto"), "size")
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], groups: list[str] | None = None) -> DataFrame:
+    """(groups, q array<double>): exact quantiles, interpolated between neighbours."""
+    picks = []
+    for share in shares:
+        at = F.lit(float(share)) * (F.col("size") - 1)
+        low = F.min(F.when(F.col("upto") > F.floor(at), F.col("value").cast("double")))
+        high = F.min(F.when(F.col("upto") > F.ceil(at), F.col("value").cast("double")))
+        part = F.first(at - F.floor(at))
+        picks.append(low + (high - low) * part)
+    counted = counted_values(df, value, groups)
+    return counted.groupBy(*(groups or [])).agg(F.array(*picks).alias("q"))
+
+
+def modes(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
+    """(groups, value): the commonest value of each group, the lowest among equals."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    return counts.groupBy(*groups).agg(F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"].alias("value"))
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
@@ -18,10 +60,9 @@ def describe(df: DataFrame, value: str) -> DataFrame:
     if not isinstance(df.schema[value].dataType, T.NumericType):
         raise ValueError("describe needs a numeric column")
     v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(
-        F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max")
-    ).select("count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    figures = df.agg(F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = quantiles(df, value, [0.25, 0.5, 0.75]).select("q").scalar()
+    return figures.withColumn("q", q).select("count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def _cells(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -155,25 +196,31 @@ def bic(df: DataFrame, vector: str, cluster: str) -> DataFrame:
 
 
 def fourier_extrapolation(df: DataFrame, series: str, t: str, value: str, harmonics: int = 25, predict: int = 0) -> DataFrame:
-    """(series, t, value): each series, without its trend, rebuilt from its lowest harmonics over its
-    n points (t = 0..n-1) and `predict` more, with the trend added again. A series is one group."""
-    import pandas as pd
-
-    def rebuild(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        x = pdf["value"].to_numpy(dtype=float)
-        n = len(x)
-        at = np.arange(n)
-        slope = np.polyfit(at, x, 1)[0] if n > 1 else 0.0
-        spectrum = np.fft.fft(x - slope * at)
-        freq = np.fft.fftfreq(n)
-        keep = sorted(range(n), key=lambda i: abs(freq[i]))[: 1 + 2 * harmonics]
-        longer = np.arange(n + predict)
-        out = sum((np.abs(spectrum[i]) / n * np.cos(2 * np.pi * freq[i] * longer + np.angle(spectrum[i])) for i in keep), np.zeros(n + predict))
-        return pd.DataFrame({"series": [pdf["series"].iloc[0]] * (n + predict), "t": longer, "value": out + slope * longer})
+    """(series, t, value): each series, without its trend, as the sum of its lowest harmonics over its n
+    points (t = 0..n-1, in the order of t) and `predict` more, with the trend added again.
 
+    A harmonic's weight is a sum over the points, so a series is two aggregates, not one group: first
+    its trend, then the cosine and sine sums of harmonics 0 to `harmonics` (at most n / 2).
+    """
     src = df.select(F.col(series).cast("string").alias("series"), F.col(t).cast("long").alias("t"), F.col(value).cast("double").alias("value")).dropna()
-    return src.groupBy("series").applyInPandas(rebuild, "series string, t bigint, value double")
+    numbered = number_rows(src, "series", "t", name="at")
+    heads = numbered.groupBy("series").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    points = stage(skew_join(numbered, heads, ["series"]).select("series", (F.col("at") - F.col("first")).alias("t"), "n", "value"), "series-points")
+    slopes = points.groupBy("series").agg(F.coalesce(F.regr_slope("value", F.col("t").cast("double")), F.lit(0.0)).alias("slope"))
+    flat = skew_join(points, slopes, ["series"]).withColumn("flat", F.col("value") - F.col("slope") * F.col("t"))
+
+    def angle(k: int | Column) -> Column:  # of whole turns only the rest counts
+        return F.lit(2 * math.pi) * F.pmod(F.lit(k) * F.col("t") if isinstance(k, int) else k * F.col("t"), F.col("n")) / F.col("n")
+
+    sums = [F.struct(F.lit(k).alias("k"), F.sum(F.col("flat") * F.cos(angle(k))).alias("re"), F.sum(F.col("flat") * F.sin(angle(k))).alias("im")) for k in range(harmonics + 1)]
+    waves = stage(flat.groupBy("series", "n", "slope").agg(F.array(*sums).alias("waves")), "series-waves")
+    more = waves.select("series", F.explode(F.sequence(F.col("n"), F.col("n") + predict - 1)).alias("t")) if predict > 0 else None
+    wanted = points.select("series", "t") if more is None else stage(points.select("series", "t").unionByName(more), "series-wanted")
+    full = skew_join(wanted, waves, ["series"])
+    # Harmonics k and n - k are one real wave; 0, and n / 2 of an even n, stand alone.
+    weight = lambda k: F.when(2 * k > F.col("n"), 0.0).when((k == 0) | (2 * k == F.col("n")), 1.0).otherwise(2.0)
+    wave = F.aggregate("waves", F.lit(0.0), lambda s, x: s + weight(x["k"]) * (x["re"] * F.cos(angle(x["k"])) + x["im"] * F.sin(angle(x["k"]))))
+    return full.select("series", "t", (wave / F.col("n") + F.col("slope") * F.col("t")).alias("value"))
 
 
 def rolling(df: DataFrame, keys: list[str], order: list[str], value: str, periods: int = 12, block: int = 1 << 16) -> DataFrame:
@@ -190,15 +237,8 @@ def rolling(df: DataFrame, keys: list[str], order: list[str], value: str, period
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
-    """(value, ecdf): distinct values with the share of rows up to them, ties together. Counts per
-    value come first; their running sum goes by ranges of values."""
-    from ..staging import stage
-
-    counts = stage(df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n")).repartitionByRange("value").withColumn("part", F.spark_partition_id()), "ecdf")
-    parts = counts.groupBy("part").agg(F.sum("n").alias("m"))
-    shift = parts.select("part", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"), F.sum("m").over(Window.partitionBy()).alias("all"))
-    run = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
-    return counts.withColumn("run", run).join(F.broadcast(shift), "part").select("value", ((F.col("run") + F.col("shift")).cast("double") / F.col("all")).alias("ecdf"))
+    """(value, ecdf): distinct values with the share of rows up to them, ties together."""
+    return counted_values(df, value).select(F.col("value").cast("double").alias("value"), (F.col("upto").cast("double") / F.col("size")).alias("ecdf"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
