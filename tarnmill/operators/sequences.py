@@ -9,15 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
+from .indexing import number_rows
+from .skew import skew_join
+
 #: Positions of a host in one block.
 BLOCK = 1 << 16
+#: Rows of a host's day that one task orders.
+DAY_ROWS = 1 << 20
 
 
 def to_sequences(rows: DataFrame, host: str, ts: str, tie: str, log: str) -> DataFrame:
     """Rows with a host, numbered per host by (ts, tie). Rows are numbered within a day first; the
-    days' counts, summed up per host, give the offsets. Rows without ts come first."""
+    days' counts, summed up per host, give the offsets. Rows without ts come first.
+
+    If a host has more rows on one day, or without ts, than a task should order, all rows are numbered
+    together by ranges instead, and each host's first number is taken off."""
     base = rows.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(log).alias("log"), F.to_date(ts).alias("day"))
-    days = base.groupBy("host", "day").agg(F.count("*").alias("n"))
+    days = stage(base.groupBy("host", "day").agg(F.count("*").alias("n")), "host-days")
+    if (days.agg(F.max("n")).first()[0] or 0) > DAY_ROWS:
+        numbered = number_rows(base, "host", F.asc_nulls_first("ts"), "tie", name="at")
+        first = numbered.groupBy("host").agg(F.min("at").alias("first"))
+        return skew_join(numbered, first, ["host"]).select("host", (F.col("at") - F.col("first") + 1).cast("int").alias("pos"), "log", "ts")
     before = Window.partitionBy("host").orderBy(F.asc_nulls_first("day")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = days.select("host", F.coalesce("day", F.lit("0001-01-01").cast("date")).alias("key"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     w = Window.partitionBy("host", "key").orderBy(F.asc_nulls_first("ts"), "tie")
