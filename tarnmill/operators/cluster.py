@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import seeded
 from ..staging import drop_staged, stage
 from .stats import modes, quantiles
 
@@ -38,7 +39,7 @@ def assign(vec: Column, centroids: list[list[float]], metric: str) -> Column:
 
 def init_centroids(df: DataFrame, key: str, vector: str, k: int = 3, seed: int = 0) -> list[list[float]]:
     """Vectors of the k rows with the lowest seeded hash, all different."""
-    rows = df.where(F.col(vector).isNotNull()).groupBy(F.col(vector).cast("array<double>").alias("v")).agg(F.min(F.xxhash64(F.lit(seed), key)).alias("h"))
+    rows = df.where(F.col(vector).isNotNull()).groupBy(F.col(vector).cast("array<double>").alias("v")).agg(F.min(seeded(seed, F.col(key))).alias("h"))
     return [list(r["v"]) for r in rows.orderBy("h", "v").limit(k).collect()]
 
 

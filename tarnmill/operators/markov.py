@@ -7,14 +7,17 @@ item could equal.
 
 from __future__ import annotations
 
-import random
+import hashlib
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import seeded
 from ..staging import drop_staged, stage
 from .sequences import following
+from .skew import skew_join
 
 SOS, EOS = "<SOS>", "<EOS>"
 
@@ -178,23 +181,39 @@ def _stationary_by_rounds(counts: DataFrame, tolerance: float = 1e-10, max_round
     return now.select("state", (F.col("prob") / F.lit(total)).alias("prob"))
 
 
-def generate(counts: DataFrame, number: int = 1, seed: int = 0, start: str | None = None, max_len: int = 1000) -> DataFrame:
-    """(host, pos, log): `number` random sequences, each ending at EOS or at max_len items. The
-    transition table of the states is brought to the driver, as for `transition_matrix`."""
-    table: dict[str, tuple[list[str], list[int]]] = {}
+#: Most rows of a model that are brought to the driver to draw sequences from.
+MODEL_ROWS = 1_000_000
+
+
+def _draw(followers: list[tuple], seed: int, *at):
+    """One of (value, count), in their order, by a number that the seed and the place fix."""
+    u = int(hashlib.md5("|".join(map(str, (seed, *at))).encode()).hexdigest()[:15], 16) % sum(c for _, c in followers)
+    for value, c in followers:
+        u -= c
+        if u < 0:
+            return value
+
+
+def _model(counts: DataFrame) -> dict:
+    """state -> its (next, cnt) by next, on the driver; a model of more than MODEL_ROWS rows is refused."""
+    if counts.limit(MODEL_ROWS + 1).count() > MODEL_ROWS:
+        raise ValueError("the model is too large to draw from on the driver; draw with generate_by_steps")
+    table: dict = {}
     for r in counts.orderBy("state", "next").collect():
-        nxt, cnt = table.setdefault(r["state"], ([], []))
-        nxt.append(r["next"])
-        cnt.append(r["cnt"])
-    rng, rows = random.Random(seed), []
+        table.setdefault(tuple(r["state"]) if isinstance(r["state"], list) else r["state"], []).append((r["next"], r["cnt"]))
+    return table
+
+
+def generate(counts: DataFrame, number: int = 1, seed: int = 0, start: str | None = None, max_len: int = 1000) -> DataFrame:
+    """(host, pos, log): `number` random sequences, each ending at EOS or at max_len items. The draw at
+    each place is by the counts and by a hash of seed, sequence and place."""
+    table, rows = _model(counts), []
     for host in range(number):
-        state = start if start is not None else SOS
-        pos = 0
+        state, pos = (SOS, 0) if start is None else (start, 1)
         if start is not None:
-            pos = 1
             rows.append((host, pos, start))
         while pos < max_len and state in table:
-            state = rng.choices(*table[state])[0]
+            state = _draw(table[state], seed, host, pos)
             if state == EOS:
                 break
             pos += 1
@@ -202,29 +221,45 @@ def generate(counts: DataFrame, number: int = 1, seed: int = 0, start: str | Non
     return counts.sparkSession.createDataFrame(rows, "host int, pos int, log string")
 
 
+def generate_by_steps(counts: DataFrame, number: int = 1, seed: int = 0, max_len: int = 1000) -> DataFrame:
+    """As `generate`, for a model or a number of sequences too large for the driver: all sequences take
+    a step at a time, by a join with the ranges that the followers of each state have."""
+    w = Window.partitionBy("state")
+    upto = F.sum("cnt").over(w.orderBy("next").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = stage(counts.select("state", "next", (upto - F.col("cnt")).alias("low"), upto.alias("high"), F.sum("cnt").over(w).alias("total")), "ranges")
+    now = counts.sparkSession.range(number).select(F.col("id").cast("int").alias("host"), F.lit(0).alias("pos"), F.lit(SOS).alias("log"))
+    parts = []
+    for pos in range(max_len):
+        u = F.pmod(seeded(seed, F.col("host"), F.col("pos")), F.col("total"))
+        step = skew_join(now.withColumnRenamed("log", "state"), ranges, ["state"], "inner", number).where((u >= F.col("low")) & (u < F.col("high")) & (F.col("next") != EOS))
+        now = stage(step.select("host", F.lit(pos + 1).alias("pos"), F.col("next").alias("log")), "steps")
+        parts.append(now)
+        if not now.take(1):
+            break
+    return reduce(DataFrame.unionByName, parts)
+
+
 def generate_next(counts: DataFrame, state: str | list[str], seed: int = 0) -> str | None:
     """A random follower of a state (EOS may be one), by the counts; None for an unknown state. Only
     the rows of that state are brought to the driver."""
     value = F.array(*map(F.lit, state)) if isinstance(state, (list, tuple)) else F.lit(state)
-    rows = counts.where(F.col("state") == value).select("next", "cnt").orderBy("next").collect()
-    return random.Random(seed).choices([r["next"] for r in rows], [r["cnt"] for r in rows])[0] if rows else None
+    table = _model(counts.where(F.col("state") == value))
+    return _draw(*table.values(), seed, "next") if table else None
 
 
 def generate_order(counts: DataFrame, starts: DataFrame, number: int = 1, seed: int = 0, start: list[str] | None = None, max_len: int = 1000) -> DataFrame:
     """(host, pos, log): random sequences of a model of order k, from its start probabilities or from
     k given items; each ends at EOS, at an unknown state, or at max_len items."""
-    table: dict[tuple, tuple[list[str], list[int]]] = {}
-    for r in counts.orderBy("state", "next").collect():
-        nxt, cnt = table.setdefault(tuple(r["state"]), ([], []))
-        nxt.append(r["next"])
-        cnt.append(r["cnt"])
+    table = _model(counts)
+    if starts.limit(MODEL_ROWS + 1).count() > MODEL_ROWS:
+        raise ValueError("too many starts to draw from on the driver")
     first = [(tuple(r["state"]), r["cnt"]) for r in starts.orderBy("state").collect()]
-    rng, rows = random.Random(seed), []
+    rows = []
     for host in range(number if first or start else 0):
-        items = list(start) if start else list(rng.choices([f for f, _ in first], [c for _, c in first])[0])
+        items = list(start) if start else list(_draw(first, seed, host, 0))
         k = len(items)
         while len(items) < max_len and (now := tuple(items[-k:])) in table:
-            nxt = rng.choices(*table[now])[0]
+            nxt = _draw(table[now], seed, host, len(items))
             if nxt == EOS:
                 break
             items.append(nxt)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import seeded
 from ..staging import small, stage
 from .indexing import number_rows
 
@@ -31,8 +32,8 @@ def balanced_sample(df: DataFrame, stratum: str, key: str, how: str = "both", fi
     null class are left out.
     """
     rows = df.where(F.col(stratum).isNotNull())
-    h = F.xxhash64(F.lit(seed), key)
-    placed = rows.withColumn("__h", h).withColumn("__b", F.pmod(h, F.lit(BUCKETS)).cast("int"))
+    h = seeded(seed, F.col(key))
+    placed = rows.withColumn("__h", h).withColumn("__b", F.floor(h / F.lit(float((1 << 60) // BUCKETS))).cast("int"))
     in_bucket = stage(placed.groupBy(F.col(stratum).alias("__c"), "__b").agg(F.count("*").alias("m")), "strata")
     sizes = in_bucket.groupBy("__c").agg(F.sum("m").alias("n"))
     size = class_size(sizes, how, fixed_size)
@@ -55,10 +56,10 @@ def balanced_sample(df: DataFrame, stratum: str, key: str, how: str = "both", fi
     spark = df.sparkSession
     slots = spark.range(size * n_classes).select((F.col("id") % max(n_classes, 1)).alias("__no"), (F.floor(F.col("id") / max(n_classes, 1)) + 1).cast("int").alias("__d"))
     draws = slots.join(small(classes, n_classes, 64), "__no")
-    draws = draws.select(F.col("__c").alias("__dc"), (F.pmod(F.xxhash64(F.lit(seed + 1), "__c", "__d"), F.col("n")) + 1).alias("__rank"))
+    draws = draws.select(F.col("__c").alias("__dc"), (F.pmod(seeded(seed + 1, F.col("__c"), F.col("__d")), F.col("n")) + 1).alias("__rank"))
     return ranked.join(draws, (F.col("__c") == F.col("__dc")) & (ranked["__rank"] == draws["__rank"])).select(*[ranked[c] for c in df.columns])
 
 
-def sorted_values(df: DataFrame, column: str) -> DataFrame:
-    """Rows in ascending order of a column, NaN after all numbers, nulls last."""
-    return df.orderBy(F.asc_nulls_last(column))
+def sorted_values(df: DataFrame, column: str, *ties: str) -> DataFrame:
+    """Rows in ascending order of a column, NaN after all numbers, nulls last; equal values by `ties`."""
+    return df.orderBy(F.asc_nulls_last(column), *ties)

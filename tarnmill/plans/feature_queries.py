@@ -70,6 +70,25 @@ def vectorizer_transform(spark: SparkSession, d: str) -> DataFrame:
     return fitted.transform(seq).select("host", "idx", "log", r6("value"))
 
 
+def vectorizer_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of a fixed vocabulary, of which one log never occurs."""
+    spec = features.CountSpec(logs=("view", "click", "absent"))
+    return features.LogVectorizer(spec).fit_transform(seq_of(spark, d))
+
+
+def vectorizer_fit_transform(spark: SparkSession, d: str) -> DataFrame:
+    """The ten commonest bigrams, weighted."""
+    out = features.LogVectorizer(features.CountSpec(ngram=2, max_features=10), weighted=True, norm="l1").fit_transform(seq_of(spark, d))
+    return out.select("host", "idx", "log", r6("value"))
+
+
+def apriori_transform(spark: SparkSession, d: str) -> DataFrame:
+    """Item sets of the users with even numbers, in the baskets of all."""
+    baskets = stage(user_days(spark, d), "user-days")
+    even = baskets.where("cast(substring_index(txn, '@', 1) as bigint) % 2 = 0")
+    return itemsets.ItemsetEncoder(3, 2, 0.04).fit(even).transform(baskets)
+
+
 def apriori_itemsets(spark: SparkSession, d: str) -> DataFrame:
     sets = itemsets.frequent_itemsets(user_days(spark, d), 3, 2, 0.04)
     return sets.select(F.concat_ws("|", "items").alias("itemset"), "size", "support")
@@ -115,7 +134,7 @@ def flat_map(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     names = (
         "count_logs ngram_counts host_frequency vocabulary vocab_pruned lfihf_l2 lfihf_l1_log lfihf_pct lfihf_bool lfihf_no_ihf ihf_weights vectorizer_transform "
-        "apriori_itemsets apriori_encode embed_codes embed_one_hot unique_items sliding_window batch flat_map"
+        "vectorizer_fixed vectorizer_fit_transform apriori_itemsets apriori_encode apriori_transform embed_codes embed_one_hot unique_items sliding_window batch flat_map"
     ).split()
     return {n: globals()[n] for n in names}
 
@@ -157,6 +176,15 @@ def oracle_sql() -> dict[str, str]:
             v as (select log, row_number() over (order by log) - 1 as idx, ln((1 + (select count(distinct host) from c)) / (1e0 + hf)) + 1 as ihf from f),
             w as (select host, idx, log, cnt * ihf as w from c join v using (log))
             select host, idx, log, round(w / {l2}, 6) as value from w""",
+        "vectorizer_fixed": f"""with {SEQ}, v as (select * from (values ('absent', 0::bigint), ('click', 1), ('view', 2)) v(log, idx)) select host, idx, log, count(*) as value from seq join v using (log) group by all""",
+        "vectorizer_fit_transform": _N2 + f""", f as (select log, count(*) as hf, sum(cnt) as total from c group by log order by total desc, log limit 10),
+            v as (select log, row_number() over (order by log) - 1 as idx, ln((1 + any_value(n)) / (1 + any_value(hf))) + 1 as ihf from f, n group by log),
+            w as (select host, idx, log, cnt * ihf as w from c join v using (log)) select host, idx, log, round(w / sum(w) over (partition by host), 6) as value from w""",
+        "apriori_transform": f"""with {BASKETS}, e as (select * from b where split_part(txn, '@', 1)::bigint % 2 = 0), n as (select greatest(1, floor(count(distinct txn) * 0.04)) as least from e),
+            s as (select x.txn, x.item || '|' || y.item as itemset, 2 as size from b x join b y on x.txn = y.txn and x.item < y.item
+                  union all select x.txn, x.item || '|' || y.item || '|' || z.item, 3 from b x join b y on x.txn = y.txn and x.item < y.item join b z on x.txn = z.txn and y.item < z.item),
+            k as (select itemset, size from s where split_part(txn, '@', 1)::bigint % 2 = 0 group by all having count(*) >= (select least from n)),
+            m as (select itemset, row_number() over (order by size, itemset) - 1 as idx from k) select txn, idx, itemset from s join m using (itemset)""",
         "apriori_itemsets": f"""with {BASKETS}, n as (select greatest(1, floor(count(distinct txn) * 0.04)) as least from b),
             p as (select x.item || '|' || y.item as itemset, 2 as size, count(*) as support from b x join b y on x.txn = y.txn and x.item < y.item group by 1
                   union all select x.item || '|' || y.item || '|' || z.item, 3, count(*) from b x join b y on x.txn = y.txn and x.item < y.item join b z on x.txn = z.txn and y.item < z.item group by 1)

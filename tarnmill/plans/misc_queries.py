@@ -50,7 +50,7 @@ def drop_all_null(spark: SparkSession, d: str) -> DataFrame:
 
 def flatten_dict(spark: SparkSession, d: str) -> DataFrame:
     flat = schema.flatten_dict(_nested(spark, d))
-    return flat.select("who->c_custkey", "who->c_name", "who->market->segment", "acct->bal")
+    return flat.withColumn("who->market->tags", F.concat_ws(",", F.col("`who->market->tags`")))
 
 
 def flatten_array(spark: SparkSession, d: str) -> DataFrame:
@@ -90,8 +90,24 @@ def balanced_sample_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def balanced_sample_down(spark: SparkSession, d: str) -> DataFrame:
-    sample = sampling.balanced_sample(table(spark, d, "orders"), "o_orderpriority", "o_orderkey", "down", seed=5, replace=False)
-    return sample.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("different"))
+    """The rows drawn without replacement."""
+    return sampling.balanced_sample(table(spark, d, "orders"), "o_orderpriority", "o_orderkey", "down", seed=5, replace=False).select("o_orderpriority", "o_orderkey")
+
+
+def balanced_sample_up(spark: SparkSession, d: str) -> DataFrame:
+    """The rows drawn with replacement, with the number of their draws."""
+    sample = sampling.balanced_sample(table(spark, d, "part"), "p_brand", "p_partkey", "up", seed=3)
+    return sample.groupBy("p_brand", "p_partkey").agg(F.count("*").alias("n"))
+
+
+def balanced_sample_fixed(spark: SparkSession, d: str) -> DataFrame:
+    sample = sampling.balanced_sample(table(spark, d, "part"), "p_brand", "p_partkey", fixed_size=7, seed=4)
+    return sample.groupBy("p_brand", "p_partkey").agg(F.count("*").alias("n"))
+
+
+def init_centroids(spark: SparkSession, d: str) -> DataFrame:
+    centres = cluster.init_centroids(table(spark, d, "embeddings"), "vec_id", "embedding", 4, seed=2)
+    return spark.createDataFrame([(i, j, round(v, 6)) for i, c in enumerate(centres) for j, v in enumerate(c)], "cluster int, dim int, v double")
 
 
 def number_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -99,9 +115,9 @@ def number_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sort_values(spark: SparkSession, d: str) -> DataFrame:
+    """Each row's place in the order that the operator gives."""
     v = table(spark, d, "agent_states").select("state_id", F.col("disk.main.size_gb").alias("v"))
-    ranked = indexing.number_rows(sampling.sorted_values(v, "v"), F.asc_nulls_last("v"), "state_id", name="rank", start=1)
-    return ranked.select("state_id", "rank")
+    return indexing.number_in_order(sampling.sorted_values(v, "v", "state_id"), "rank", 1).select("state_id", "rank")
 
 
 _CENTRES = 3
@@ -138,7 +154,7 @@ def k_modes(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     names = (
         "flatten_schema flatten_df flatten_df_all null_profile drop_all_null flatten_dict flatten_array edit_distance joined_keys path_filter json_fields "
-        "balanced_sample_sizes balanced_sample_down number_rows sort_values assign_cosine assign_euclidean median_centroids k_medians k_modes"
+        "balanced_sample_sizes balanced_sample_down balanced_sample_up balanced_sample_fixed init_centroids number_rows sort_values assign_cosine assign_euclidean median_centroids k_medians k_modes"
     ).split()
     return {n: globals()[n] for n in names}
 
@@ -149,6 +165,17 @@ p as (select e.vec_id, k, list_sum(list_transform(range(1, 65), lambda i: e.embe
   sqrt(list_sum(list_transform(range(1, 65), lambda i: (e.embedding[i]::double - c.c[i]::double) ** 2))) as dist from embeddings e, c)"""
 
 
+def _hash(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 15))::bigint"
+
+
+def _drawn(seed: int, size: str) -> str:
+    """Draw d of a class takes the row of its hash's rank, the rows being ranked by theirs."""
+    return f"""with c as (select p_brand, count(*) as n from part group by 1), r as (select p_brand, p_partkey, row_number() over (partition by p_brand order by {_hash(f"'{seed}|' || p_partkey")}, p_partkey) as rank from part),
+        d as (select p_brand, {_hash(f"'{seed + 1}|' || p_brand || '|' || d")} % n + 1 as rank from (select p_brand, n, unnest(range(1, {size} + 1)) as d from c))
+        select p_brand, p_partkey, count(*) as n from d join r using (p_brand, rank) group by all"""
+
+
 def oracle_sql() -> dict[str, str]:
     seg = "case when c_custkey % 3 <> 0 then c_mktsegment end"
     return {
@@ -166,7 +193,7 @@ def oracle_sql() -> dict[str, str]:
         "drop_all_null": """select state_id, host.id as host_id, coalesce(host.os, host_os) as host_os, host.site.room as host_site_room, host.site.rack as host_site_rack, to_json(host.site.tags)::varchar as host_site_tags, to_json(nics)::varchar as nics, to_json(marks)::varchar as marks,
             coalesce(disk.main.mount, disk_main_mount) as disk_main_mount, disk.main.label as disk_main_label,
             case when isnan(disk.main.size_gb) then null else disk.main.size_gb end as disk_main_size_gb, disk.encrypted as disk_encrypted from agent_states""",
-        "flatten_dict": f"""select c_custkey as "who->c_custkey", c_name as "who->c_name", {seg} as "who->market->segment", c_acctbal as "acct->bal" from customer""",
+        "flatten_dict": f"""select c_custkey as "who->c_custkey", c_name as "who->c_name", {seg} as "who->market->segment", c_name || ',' || c_mktsegment as "who->market->tags", 'alt ' || c_mktsegment as "WHO_market_segment", c_acctbal as "acct->bal", null::varchar as "acct->note" from customer""",
         "flatten_array": "select n_regionkey, unnest([min(n_name), max(n_name), 'z']) as name from nation group by n_regionkey",
         "edit_distance": "select a.n_name, b.n_name as other, levenshtein(a.n_name, b.n_name)::int as dist from nation a join nation b using (n_regionkey) where a.n_name < b.n_name",
         "joined_keys": "select o_orderkey, o_orderstatus || '|' || o_custkey as key, 'ord_' || lpad(o_orderkey::varchar, 10, '0') as id from orders",
@@ -174,7 +201,12 @@ def oracle_sql() -> dict[str, str]:
             where event_id % 11 <> 0 and user_id % 7 in (1, 4) and ts between timestamp '2024-01-05' and timestamp '2024-01-20 12:00:00'""",
         "json_fields": "select event_id, json_extract_string(props, '$.k') as k from events",
         "balanced_sample_sizes": "with c as (select p_brand, count(*) as n from part group by 1) select p_brand, (select floor(quantile_cont(n, 0.5))::bigint from c) as n from c",
-        "balanced_sample_down": "with c as (select o_orderpriority, count(*) as n from orders group by 1) select o_orderpriority, (select min(n) from c) as n, (select min(n) from c) as different from c",
+        "balanced_sample_down": f"""with c as (select o_orderpriority, count(*) as n from orders group by 1)
+            select o_orderpriority, o_orderkey from orders qualify row_number() over (partition by o_orderpriority order by {_hash("'5|' || o_orderkey")}, o_orderkey) <= (select min(n) from c)""",
+        "balanced_sample_up": _drawn(3, "(select max(n) from c)"),
+        "balanced_sample_fixed": _drawn(4, "7"),
+        "init_centroids": f"""with f as (select embedding, min({_hash("'2|' || vec_id")}) as h from embeddings group by embedding order by 2 limit 4), k as (select embedding, row_number() over (order by h) - 1 as cluster from f)
+            select cluster::int as cluster, unnest(range(64))::int as dim, round(unnest(embedding)::double, 6) as v from k""",
         "number_rows": "select p_partkey, row_number() over (order by p_name, p_partkey) - 1 as idx from part",
         "sort_values": "select state_id, row_number() over (order by v is null, isnan(v), v, state_id) as rank from (select state_id, disk.main.size_gb as v from agent_states)",
         "assign_cosine": f"with {_VEC} select vec_id, arg_min(k, (round(-dot / size, 12), k))::int as cluster from p group by vec_id",

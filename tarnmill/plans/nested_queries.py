@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy, nested
+from ..operators.skew import skew_join
 from ..sources.tables import table
+from ..staging import stage
 
 
 def _ancestors(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +38,9 @@ def p6_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_trees(spark: SparkSession, d: str) -> DataFrame:
-    return nested.report_trees(table(spark, d, "raw_reports"))
+    """Each tree with the number of trees, its own included, that are equal to it."""
+    found = stage(nested.report_trees(table(spark, d, "raw_reports")), "report-trees")
+    return skew_join(found, found.groupBy("hash").agg(F.count("*").alias("equal")), ["hash"]).select("report_id", "tree_id", "ordinal", "equal")
 
 
 def p6_reports(spark: SparkSession, d: str) -> DataFrame:
@@ -120,6 +124,12 @@ def oracle_sql() -> dict[str, str]:
         "p5_descendants": _TREE + "select ids[i] as guid, guid as descendant, (depth + 1 - i)::int as distance from (select guid, ids, depth, unnest(range(1, depth + 1)) as i from t)",
         "p6_found": _NODES + "select distinct report_id, tree_id, node_id, parent_id from n",
         "p6_nodes": _NODES + "select report_id, tree_id, node_id, parent_id, min(name) as name, min(ts) as ts, min(proc_path) as proc_path from n group by all",
+        "p6_trees": _BODY + """pt as (select t.report_id, t.id, t.type from t join t as r on r.report_id = t.report_id and r.parent is null and t.parent = r.id and r.type = 'OBJECT' where t.key = 'process_trees' and t.type in ('OBJECT', 'ARRAY')),
+            e as (select t.report_id, t.id, t.value, t.key, pt.type as box, row_number() over (partition by t.report_id order by t.id) - 1 as ordinal from t join pt on t.report_id = pt.report_id and t.parent = pt.id),
+            w as (select report_id, id as entry, id, '' as path from e union all select t.report_id, w.entry, t.id, w.path || '/' || coalesce(t.key, '') from t join w on t.report_id = w.report_id and t.parent = w.id),
+            l as (select w.report_id, w.entry, string_agg(w.path || t.type || case when t.type in ('OBJECT', 'ARRAY') then '' else t.value::varchar end, chr(1) order by w.path) as whole from w join t on t.report_id = w.report_id and t.id = w.id group by 1, 2)
+            select e.report_id, coalesce(e.value ->> 'tree_id', case when box = 'OBJECT' then e.key end, '') as tree_id, ordinal::int as ordinal, count(*) over (partition by whole) as equal
+            from e join l on l.report_id = e.report_id and l.entry = e.id where json_type(e.value) = 'OBJECT'""",
         "p6_reports": _BODY.rstrip(",\n ") + """ select report_id, value ->> 'host_id' as host_id, value ->> 'host_name' as host_name, value ->> 'op_sys' as op_sys, value ->> 'ip' as ip,
             case when json_type(value, '$.env') = 'OBJECT' then value ->> '$.env.stage' else value ->> 'env' end as env from t where parent is null and type = 'OBJECT'""",
         "p6_iterations": _BODY.rstrip(",\n ") + """ select r.report_id, l.key as tree_id, i.key::int as ordinal, i.value ->> '$[0]' as start, try_cast(i.value ->> '$[1]' as double) as elapsed, i.value ->> '$[2]' as node_id

@@ -86,7 +86,7 @@ def fourier(spark: SparkSession, d: str) -> DataFrame:
 def fourier_extrapolated(spark: SparkSession, d: str) -> DataFrame:
     days = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
     days = days.select("event_type", F.datediff("day", F.lit("2024-01-01")).alias("t"), "v")
-    return stats.fourier_extrapolation(days, "event_type", "t", "v", 3, 7)
+    return stats.fourier_extrapolation(days, "event_type", "t", "v", 3, 7).select("series", "t", F.round("value", 3).alias("value"))
 
 
 def rolling_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -165,6 +165,11 @@ def oracle_sql() -> dict[str, str]:
             r as (select regr_slope(v, t) as b, count(*)::double as n from s), z as (select t, v - b * t as x, n, b from s, r),
             k as (select unnest(range(0, 3))::double as k), co as (select k, any_value(n) as n, sum(x * cos(2 * pi() * k * t / n)) as re, -sum(x * sin(2 * pi() * k * t / n)) as im from z, k group by k)
             select t::bigint as t, round(sum(case when k = 0 then 1 else 2 end * (re * cos(2 * pi() * k * t / z.n) - im * sin(2 * pi() * k * t / z.n)) / z.n) + any_value(b) * t, 3) as value from z, co group by t""",
+        "fourier_extrapolated": """with s as (select event_type as series, datediff('day', date '2024-01-01', cast(ts as date))::double as t, sum(value) as v from events group by 1, 2),
+            r as (select series, regr_slope(v, t) as b, count(*)::double as n from s group by 1), z as (select series, t, v - b * t as x, n, b from s join r using (series)),
+            k as (select unnest(range(0, 4))::double as k), co as (select series, k, any_value(n) as n, any_value(b) as b, sum(x * cos(2 * pi() * k * t / n)) as re, -sum(x * sin(2 * pi() * k * t / n)) as im from z, k group by 1, 2),
+            p as (select series, unnest(range(n::bigint + 7)) as t from r)
+            select series, t, round(sum(case when k = 0 then 1 else 2 end * (re * cos(2 * pi() * k * t / n) - im * sin(2 * pi() * k * t / n)) / n) + any_value(b) * t, 3) as value from p join co using (series) group by 1, 2""",
         "rolling_stats": """select event_id, round(case when count(*) over w = 12 then avg(value) over w end, 6) as rolling_mean, round(case when count(*) over w = 12 then stddev_samp(value) over w end, 6) as rolling_std
             from events window w as (partition by user_id order by ts, event_id rows between 11 preceding and current row)""",
         "ecdf": "select distinct l_quantity as value, round(cume_dist() over (order by l_quantity), 6) as ecdf from lineitem",
