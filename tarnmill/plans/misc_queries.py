@@ -169,6 +169,19 @@ def _hash(text: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 15))::bigint"
 
 
+_COSINE = "case when list_dot_product(v, v) * list_dot_product(vec, vec) > 0 then -list_dot_product(v, vec) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(vec, vec))) else 0 end"
+
+
+def _rounds(dist: str, middle: str, dims: int, most: int = 60) -> str:
+    """Rounds of assignment and update from the centroids of f; more of them than it takes to settle."""
+    return f"""c as (select row_number() over (order by h) - 1 as cluster, vec, 0 as i from f
+        union all select cluster, list(x order by dim), i + 1 from (select cluster, dim, {middle} as x, any_value(i) as i from
+          (select a.cluster, a.i, unnest(range({dims})) as dim, unnest(e.v) as x from
+            (select rid, any_value(i) as i, arg_min(cluster, (round(dist, 12), cluster)) as cluster from (select rid, cluster, i, {dist} as dist from e, c where i < {most}) group by rid) a join e using (rid))
+          group by cluster, dim) group by cluster, i)
+        select any_value(id) as key, arg_min(cluster, (round(dist, 12), cluster))::int as cluster from (select rid, id, cluster, {dist} as dist from e, c where i = {most}) group by rid"""
+
+
 def _drawn(seed: int, size: str) -> str:
     """Draw d of a class takes the row of its hash's rank, the rows being ranked by theirs."""
     return f"""with c as (select p_brand, count(*) as n from part group by 1), r as (select p_brand, p_partkey, row_number() over (partition by p_brand order by {_hash(f"'{seed}|' || p_partkey")}, p_partkey) as rank from part),
@@ -207,6 +220,10 @@ def oracle_sql() -> dict[str, str]:
         "balanced_sample_fixed": _drawn(4, "7"),
         "init_centroids": f"""with f as (select embedding, min({_hash("'2|' || vec_id")}) as h from embeddings group by embedding order by 2 limit 4), k as (select embedding, row_number() over (order by h) - 1 as cluster from f)
             select cluster::int as cluster, unnest(range(64))::int as dim, round(unnest(embedding)::double, 6) as v from k""",
+        "k_medians": f"""with recursive f as (select embedding::double[] as vec, min({_hash("'2|' || vec_id")}) as h from embeddings group by 1 order by 2 limit 4),
+            e as (select vec_id as rid, vec_id as id, embedding::double[] as v from embeddings), {_rounds("sqrt(list_sum(list_transform(range(1, 65), lambda j: (v[j] - vec[j]) ** 2)))", "quantile_cont(x, 0.5)", 64)}""",
+        "k_modes": f"""with recursive w as (select l_orderkey * 10 + l_linenumber as id, [l_linenumber::double, floor(l_quantity) % 7, floor(l_discount * 100)] as v from lineitem), e as (select row_number() over (order by id, v) as rid, id, v from w),
+            f as (select v as vec, min({_hash("'4|' || id")}) as h from e group by 1 order by 2 limit 3), {_rounds(_COSINE, "list_aggregate(list_sort(list(x)), 'mode')", 3)}""",
         "number_rows": "select p_partkey, row_number() over (order by p_name, p_partkey) - 1 as idx from part",
         "sort_values": "select state_id, row_number() over (order by v is null, isnan(v), v, state_id) as rank from (select state_id, disk.main.size_gb as v from agent_states)",
         "assign_cosine": f"with {_VEC} select vec_id, arg_min(k, (round(-dot / size, 12), k))::int as cluster from p group by vec_id",
