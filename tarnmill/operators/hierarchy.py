@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..staging import stage
@@ -43,7 +43,8 @@ class _Rounds:
     (to is null) where it finished, unfinished in the last one."""
 
     def __init__(self, first: DataFrame, label: str):
-        self.tables, self.label = [stage(first, label)], label
+        self.tables, self.label, self.n_left = [], label, 0
+        self.add(first)
 
     def every(self, only: str | Column = "true") -> DataFrame:
         only = F.expr(only) if isinstance(only, str) else only
@@ -53,7 +54,10 @@ class _Rounds:
         return self.tables[-1].where("to is not null")
 
     def add(self, table: DataFrame) -> None:
-        self.tables.append(stage(table, self.label))
+        """Writes a round; the unfinished rows are counted as they are written."""
+        seen = Observation()
+        self.tables.append(stage(table.observe(seen, F.count_if(F.col("to").isNotNull()).alias("left")), self.label))
+        self.n_left = seen.get["left"]
 
 
 def _double(links: DataFrame) -> _Rounds:
@@ -63,15 +67,14 @@ def _double(links: DataFrame) -> _Rounds:
     start = skew_join(links.select("node", "up"), known, ["up"], "left").select("node", F.when(F.col("known"), F.col("up")).alias("to"))
     is_root = F.col("to").isNull()
     rounds = _Rounds(start.select("node", "to", F.when(is_root, F.col("node")).alias("root"), F.when(is_root, 0).otherwise(1).alias("depth")), "tree-pointers")
-    left = rounds.left().count()
+    left = rounds.n_left
     while left:
         target = rounds.every().select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
         jumped = skew_join(rounds.left(), target, ["to"], "inner", left)
         rounds.add(jumped.select("node", F.col("to2").alias("to"), F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth")))
-        still = rounds.left().count()
-        if still == left:
+        if rounds.n_left == left:
             break
-        left = still
+        left = rounds.n_left
     return rounds
 
 
@@ -108,11 +111,12 @@ def ancestors(nodes: DataFrame, key: str = "guid", parent: str = "parent_guid",
     start = links.join(found.where("depth >= 0").select("node", "depth"), "node").join(ranks, "node", "left")
     to = F.when(F.col("depth") > 0, F.col("up"))
     rounds = _Rounds(start.select("node", "depth", "rank", to.alias("to"), F.array("node").alias("ids"), F.array("name").alias("names")), "tree-paths")
-    sizes = rounds.tables[0].agg(F.max("depth"), *[F.count_if(F.col("depth") >= (1 << r)) for r in range(32)]).first()
-    for r in range((sizes[0] or 0).bit_length()):
+    for r in range(len(doubled.tables)):
+        if not rounds.n_left:
+            break
         # Before round r a segment covers min(depth + 1, 2^r) nodes; those that cover all are done.
         target = rounds.every(F.col("rank") >= r).select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("ids").alias("ids2"), F.col("names").alias("names2"))
-        joined = skew_join(rounds.left(), target, ["to"], "inner", sizes[1 + r])
+        joined = skew_join(rounds.left(), target, ["to"], "inner", rounds.n_left)
         rounds.add(joined.select("node", "depth", "rank", F.col("to2").alias("to"), F.concat("ids2", "ids").alias("ids"), F.concat("names2", "names").alias("names")))
     ended = rounds.every().select("node", F.element_at("ids", 1).alias("root"), "depth", "ids", "names")
     nothing = F.lit(None).cast("array<string>")
