@@ -46,9 +46,8 @@ class _Rounds:
         self.tables, self.label, self.n_left = [], label, 0
         self.add(first)
 
-    def every(self, only: str | Column = "true") -> DataFrame:
-        only = F.expr(only) if isinstance(only, str) else only
-        return reduce(DataFrame.unionByName, [t.where("to is null").where(only) for t in self.tables], self.left().where(only))
+    def every(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t.where("to is null") for t in self.tables], self.left())
 
     def left(self) -> DataFrame:
         return self.tables[-1].where("to is not null")
@@ -111,11 +110,15 @@ def ancestors(nodes: DataFrame, key: str = "guid", parent: str = "parent_guid",
     start = links.join(found.where("depth >= 0").select("node", "depth"), "node").join(ranks, "node", "left")
     to = F.when(F.col("depth") > 0, F.col("up"))
     rounds = _Rounds(start.select("node", "depth", "rank", to.alias("to"), F.array("node").alias("ids"), F.array("name").alias("names")), "tree-paths")
+    targets = None
     for r in range(len(doubled.tables)):
         if not rounds.n_left:
             break
         # Before round r a segment covers min(depth + 1, 2^r) nodes; those that cover all are done.
-        target = rounds.every(F.col("rank") >= r).select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("ids").alias("ids2"), F.col("names").alias("names2"))
+        # Targets are kept apart as they are now, so a round reads them and the unfinished rows only.
+        wanted = F.col("rank") >= r
+        targets = rounds.tables[0].where(wanted) if targets is None else stage(targets.where("to is null").unionByName(rounds.tables[-1]).where(wanted), "tree-targets")
+        target = targets.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("ids").alias("ids2"), F.col("names").alias("names2"))
         joined = skew_join(rounds.left(), target, ["to"], "inner", rounds.n_left)
         rounds.add(joined.select("node", "depth", "rank", F.col("to2").alias("to"), F.concat("ids2", "ids").alias("ids"), F.concat("names2", "names").alias("names")))
     ended = rounds.every().select("node", F.element_at("ids", 1).alias("root"), "depth", "ids", "names")
