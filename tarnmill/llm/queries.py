@@ -63,15 +63,15 @@ def p3_subsequences(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.concat_ws(">", "steps").alias("steps"), "n", "hosts")
 
 
-def _weights(spark: SparkSession, d: str) -> DataFrame:
+def _weights(spark: SparkSession, d: str, ratio: bool = True) -> DataFrame:
     rows = table(spark, d, "log_rows")
-    return distinctive.term_weights(clean_log_rows(rows).select("host_id", "log").unionByName(loose_rows(rows)))
+    return distinctive.term_weights(clean_log_rows(rows).select("host_id", "log").unionByName(loose_rows(rows)), ratio=ratio)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """The case is defined by the weight, which no bound on the ratio gives (README); the ratio is
-    worked out for every row and leaves none out."""
-    return _weights(spark, d).where((F.col("llr") >= 0) & (F.col("records") >= 2) & (F.round("weight", 6) >= 0.5)).select("host_id", "log")
+    """The case is defined by the weight, which no bound on the ratio gives (README), so the ratio
+    isn't worked out here; p4_weights has it."""
+    return _weights(spark, d, ratio=False).where((F.col("records") >= 2) & (F.round("weight", 6) >= 0.5)).select("host_id", "log")
 
 
 def p4_weights(spark: SparkSession, d: str) -> DataFrame:

@@ -234,6 +234,14 @@ def test_weights(spark):
     assert (one["weight"], one["llr"]) == (1.0, 0.0)
 
 
+def test_found_by_weight_alone(spark, tmp_path, monkeypatch):
+    raw(spark, [["a", "a"], ["a"]]).write.parquet(str(tmp_path / "log_rows.parquet"))
+    weights = {r["host_id"]: (r["llr"], r["weight"]) for r in queries.p4_weights(spark, str(tmp_path)).collect()}
+    assert weights == {"h0": (0.0, 1.0), "h1": (0.0, 1.0)}  # cases with a ratio of 0, so no bound above 0 keeps them
+    monkeypatch.setattr(distinctive, "log_likelihood_ratio", lambda *cells: pytest.fail("a ratio that leaves no row out"))
+    assert sorted(map(tuple, queries.p4_found(spark, str(tmp_path)).collect())) == [("h0", "a"), ("h1", "a")]
+
+
 # --- 7: runs ---------------------------------------------------------------------------------------
 
 
